@@ -57,11 +57,28 @@ def teaching(documents: list[tuple[str, str]], rng: np.random.Generator, repeats
     return out
 
 
+def plausible(text: str, lang: str) -> bool:
+    """Whether no language has more function words in the text than the given one. Kana stand for Japanese."""
+    counts = dict.fromkeys(LANGUAGES, 0)
+    for w in lowered(text)[0]:
+        for known in _LANGUAGES_OF.get(w, ()):
+            counts[known] += 1
+    counts["ja"] = sum("\u3040" <= c <= "\u30ff" for c in text)
+    return counts[lang] == max(counts.values()) > 0
+
+
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _lang, _text in LEXICON.items():
+    for _word in _text.split():
+        _LANGUAGES_OF.setdefault(_word, []).append(_lang)
+
+
 def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", per_language: int = 120, seed: int = 1) -> Model:
     """A model fitted on a bounded sample: at most `per_language` of the rows whose label names each language, drawn by hash.
 
-    Labels may be wrong: a first model drops the sampled documents of which it takes most words for another language, and the
-    rest are used for the second. Without labelled rows only the fixed lexicons teach.
+    Labels may be wrong: sampled texts in which another language's function words are more frequent are dropped, then those of
+    which a first model takes a tenth of the words or more for another language; the rest are used for the second model. Without
+    labelled rows only the fixed lexicons teach.
     """
     hashed = df.select(F.col(text_column).cast("string").alias("t"), named_language(F.col(label_column).cast("string")).alias("l")).where("l is not null and length(t) >= 40")
     entry = F.struct(F.xxhash64("t", F.lit(seed)).alias("h"), F.col("t"))
@@ -71,8 +88,8 @@ def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", pe
     nth = F.row_number().over(Window.partitionBy("l").orderBy("s.h", "s.t"))
     rows = hashed.select("l", entry.alias("s")).withColumn("nth", nth).where(F.col("nth") <= per_language).select("l", "s.t").orderBy("l", "t").collect()
     rng = np.random.default_rng(seed)
-    sample = [(r.t[:20_000], r.l) for r in rows]
-    first = train(teaching(sample, rng), rounds=12)
+    sample = [(r.t, r.l) for r in rows if plausible(r.t, r.l)]
+    first = train(teaching(sample, rng), rounds=20)
     kept = []
     for text, lang in sample:
         tokens = lowered(text)[0]
@@ -83,7 +100,7 @@ def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", pe
         top = post.argmax(axis=1)
         if (top == own).mean() > 0.9:
             kept.append((text, lang))
-    return train(teaching(kept, rng), rounds=25)
+    return train(teaching(kept, rng), rounds=40)
 
 
 def posteriors(model: Model, texts: list[list[str]], cells: int = 400_000) -> list[np.ndarray]:
