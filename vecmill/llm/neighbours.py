@@ -162,7 +162,7 @@ def usable(df: DataFrame, id_column: str, vector_column: str, dim: int) -> DataF
 
 
 def all_neighbours(
-    df: DataFrame, id_column: str = "row_id", vector_column: str = "multi_embeddings", dim: int = 64, k: int = 5, cell_rows: int = 12_000, list_rows: int = 80, probe_cells: int = 3, probe_lists: int = 6, rerank: int = 48, sample_rows: int = 65_536, parts: int = 32, words: int = 64, seed: int = 7
+    df: DataFrame, id_column: str = "row_id", vector_column: str = "multi_embeddings", dim: int = 64, k: int = 5, cell_rows: int = 12_000, list_rows: int = 80, probe_cells: int = 3, probe_lists: int = 6, rerank: int = 56, sample_rows: int = 65_536, parts: int = 32, words: int = 128, seed: int = 7
 ) -> DataFrame:
     """(row_id, neighbour_id, similarity): the k most similar other rows of every row with a usable vector.
 
