@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -28,3 +30,27 @@ def local(cpus: int | str = "*", memory: str = "8g", **conf: str) -> SparkSessio
     for key, value in settings.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where it is unset, a folder of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="vecmill-")
+        spark.sparkContext.setCheckpointDir(path)
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody uses yet."""
+    return f"{shared_dir(spark)}/vecmill-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it again: it is computed once and survives the loss of executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
