@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialize, new_path, shared_dir
+
+__all__ = ["materialize", "new_path", "shared_dir"]
+
 #: A word is a maximal run of letters or digits (Unicode L and N).
 WORD = re.compile(r"[^\W_]+")
 
@@ -31,35 +34,6 @@ def digest(data: bytes | str) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="vecmill-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/vecmill-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: it is computed once and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -68,10 +42,6 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def strings(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit affects every output bit."""
     x = x ^ (x >> np.uint64(31))

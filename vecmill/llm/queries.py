@@ -116,12 +116,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p4_found, p4_members, p5_found, p5_pieces, p6_found, p6_cleaned, p7_mixture, p7_shares, p8_found, p8_documents, p8_passages)}
 
 
+# Ids and contents without what formatting may change; a content of named fields is its sorted set of them.
+_SAME = r"""
+    WITH c AS (SELECT row_id, chunk_id, content, trim(content, chr(32) || chr(9) || chr(10) || chr(13)) AS bare FROM astra_multi_vector_table WHERE chunk_id IS NOT NULL AND content IS NOT NULL),
+    p AS (SELECT *, CASE WHEN bare LIKE '{%}' AND json_valid(bare) THEN json_keys(bare) END AS names,
+        list_filter(str_split(bare, chr(10)), lambda x: trim(x) <> '') AS lines, list_filter(str_split(bare, '|'), lambda x: trim(x) <> '') AS bars, list_filter(str_split(bare, ';'), lambda x: trim(x) <> '') AS semis FROM c),
+    f AS (SELECT *, CASE WHEN len(names) >= 3 THEN list_transform(names, lambda x: x || ':' || json_extract_string(bare, '$."' || x || '"'))
+        WHEN bare LIKE '{%}' THEN NULL
+        WHEN len(lines) >= 3 AND len(list_filter(lines, lambda x: NOT regexp_full_match(trim(x), '[^:;|{}\n\r]{1,80}:.*'))) = 0 THEN lines
+        WHEN len(bars) >= 3 AND len(list_filter(bars, lambda x: NOT regexp_full_match(trim(x), '[^:;|{}\n\r]{1,80}:.*', 's'))) = 0 THEN bars
+        WHEN len(semis) >= 3 AND len(list_filter(semis, lambda x: NOT regexp_full_match(trim(x), '[^:;|{}\n\r]{1,80}:.*', 's'))) = 0 THEN semis END AS fields FROM p),
+    k AS (SELECT row_id, lower(regexp_replace(chunk_id, '[^\p{L}\p{N}]+', '', 'g')) AS id, CASE WHEN fields IS NULL THEN 'T' || lower(regexp_replace(content, '[^\p{L}\p{N}]+', '', 'g')) ELSE
+        'F' || array_to_string(list_sort(list_distinct(list_transform(fields, lambda x: lower(regexp_replace(substr(x, 1, instr(x, ':') - 1), '[^\p{L}\p{N}]+', '', 'g')) || ':' ||
+          lower(regexp_replace(substr(x, instr(x, ':') + 1), '[^\p{L}\p{N}]+', '', 'g'))))), '|') END AS body FROM f)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_stable_sample": """
             WITH k AS (SELECT row_id, ingest_batch, lower(regexp_replace(chunk_id, '[^\\p{L}\\p{N}]+', '', 'g')) AS id FROM astra_multi_vector_table),
             n AS (SELECT row_id, ingest_batch, CAST(CAST('0x' || substr(md5('0' || chr(31) || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u FROM k WHERE id <> '')
             SELECT row_id, round(u, 12) AS u, ingest_batch FROM n WHERE u < 0.1""",
+        "p3_found": _SAME + "SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.id = b.id AND a.body = b.body AND a.row_id < b.row_id",
+        "p3_collapsed": _SAME + "SELECT min(row_id) AS row_id, count(*) AS copies FROM k GROUP BY id, body",
+        "p6_found": """
+            WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+            n AS (SELECT *, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+            g AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT item_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS j FROM n)),
+            d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+            s AS (SELECT DISTINCT n FROM g),
+            t AS (SELECT doc_id, n, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) AS j FROM d, s))
+            SELECT DISTINCT doc_id, item_id FROM t JOIN g USING (n, gram)""",
         "p5_found": """
             SELECT c.row_id FROM astra_multi_vector_table c JOIN column_options o ON o.book_name = c.book_name AND o.column_name = 'multi_embeddings'
             WHERE length(c.content) > o.max_chars""",
