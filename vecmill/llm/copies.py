@@ -43,16 +43,18 @@ def fields(text: str) -> list[tuple[str, str]] | None:
     return None
 
 
-def canonical(text: str) -> str:
-    """Equal for two texts exactly if they say the same: the same letters and digits in order, or the same set of named fields."""
+def canonical(text: str, bare: str | None = None) -> str:
+    """Equal for two texts exactly if they say the same: the same letters and digits in order, or the same set of named fields.
+
+    bare: alnum(text), if it is known."""
     named = fields(text)
     if named is None:
-        return "T" + alnum(text)
+        return "T" + (alnum(text) if bare is None else bare)
     return "F" + "\x1e".join(sorted({alnum(k) + "\x1f" + alnum(v) for k, v in named}))
 
 
-def copy_key(identifier: str, content: str) -> bytes:
-    return digest(alnum(identifier) + "\x1d" + canonical(content))
+def copy_key(identifier: str, content: str, bare: str | None = None) -> bytes:
+    return digest(alnum(identifier) + "\x1d" + canonical(content, bare))
 
 
 def keyed(df: DataFrame, row_column: str, id_column: str, content_column: str) -> DataFrame:

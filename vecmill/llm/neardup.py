@@ -37,7 +37,7 @@ def texts(df: DataFrame, row_column: str, id_column: str, content_column: str, l
                 new = cls not in seen
                 if len(seen) < 1_000_000:
                     seen.add(cls)
-                for column, value in zip(out, (row, cls, None if identifier is None else copy_key(identifier, content), (hashes(w) >> np.uint64(32)).astype("<u4").tobytes() if new else None), strict=True):
+                for column, value in zip(out, (row, cls, None if identifier is None else copy_key(identifier, content, "".join(w)), (hashes(w) >> np.uint64(32)).astype("<u4").tobytes() if new else None), strict=True):
                     column.append(value)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["row_id", "cls", "copy", "tokens"])
 
