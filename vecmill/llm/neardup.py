@@ -1,7 +1,8 @@
 """Problem 4: near-duplicates, by Order MinHash candidates verified by banded alignment.
 
-A sketch holds, for each of `bands` hash functions, the `take` least occurrence-labelled k-mers of words in text order. Texts that
-share a band are candidates. An alignment of the words within a band around the diagonal gives their edit similarity; where the
+A sketch holds, for each of a number of hash functions, the `take` least occurrence-labelled k-mers of words in text order. Texts that
+share a band are candidates. Two kinds of sketches are drawn: pairs of long k-mers, which few unrelated texts share, find moved
+passages; triples of short ones find texts with edits all over. An alignment of the words within a band around the diagonal gives their edit similarity; where the
 edits it found leave too little to be sure of the measure asked for, the k-word sequences themselves are compared.
 """
 
@@ -52,17 +53,20 @@ def token_batches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, (offsets - offsets[0]).astype(np.int64) // 4
 
 
-def banded(classes: DataFrame, k: int, take: int, bands: int, seed: int) -> DataFrame:
-    """(band, cls): the sketch of every class."""
+def banded(classes: DataFrame, sketches: tuple[tuple[int, int, int], ...], seed: int) -> DataFrame:
+    """(band, cls): the sketches of every class. sketches: (words of a k-mer, k-mers of a band, bands) each."""
+    total = sum(bands for _, _, bands in sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
                 flat, starts = token_batches(piece.column(1))
-                h, first = kmers(flat.astype(np.uint64), starts, k)
-                s = sketch(label(h, first), first, bands, take, seed)
-                yield pa.record_batch([pa.array(s.ravel()), pa.array(np.repeat(piece.column(0).to_numpy(), bands))], names=["band", "cls"])
+                found = []
+                for mer, take, bands in sketches:
+                    h, first = kmers(flat.astype(np.uint64), starts, mer)
+                    found.append(sketch(label(h, first), first, bands, take, seed + 1000 * mer))
+                yield pa.record_batch([pa.array(np.concatenate(found, axis=1).ravel()), pa.array(np.repeat(piece.column(0).to_numpy(), total))], names=["band", "cls"])
 
     return classes.select("cls", "tokens").mapInArrow(run, "band long, cls long")
 
@@ -123,11 +127,12 @@ def alignments(xs: list[np.ndarray], ys: list[np.ndarray], width: int) -> np.nda
     return np.where(out >= NEVER // 2, np.maximum(n, m), out)
 
 
-def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, width: int) -> DataFrame:
+def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, width: int, align_words: int = 8192) -> DataFrame:
     """(a, b, edit_similarity) of the pairs whose share of common distinct k-word sequences is at least the threshold.
 
     An alignment with e edits leaves all but k*e of a text's sequences in the other; where that settles it, the pair is taken.
-    Otherwise (reordered or much edited texts) the sequences are compared.
+    Otherwise (reordered or much edited texts, or one of more than align_words words, whose edit similarity is null) the sequences
+    are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +145,10 @@ def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, widt
                     split.append(np.split(flat, starts[1:-1]))
                     grams.append(distinct_kmers(flat.astype(np.uint64), starts, k))
                 size = np.array([[len(t) for t in side] for side in split])
-                distance = np.empty(batch.num_rows, np.int64)
+                longest = size.max(axis=0)
+                distance = longest.copy()  # very long texts are not aligned, their sequences decide
                 order = np.lexsort((size[1], size[0]))
+                order = order[longest[order] <= align_words]
                 done = 0
                 while done < len(order):  # texts of like length side by side, within a bound of memory
                     step = max(1, min(512, 400_000 // int(size[:, order[done : done + 512]].max())))
@@ -155,7 +162,7 @@ def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, widt
                     both = len(np.intersect1d(grams[0][i], grams[1][i], assume_unique=True))
                     good[i] = both >= threshold * (counts[0, i] + counts[1, i] - both)
                 keep = pa.array(good)
-                yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(1 - distance[good] / size.max(axis=0)[good])], names=["a", "b", "edit_similarity"])
+                yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(np.where(longest <= align_words, 1 - distance / longest, np.nan)[good], from_pandas=True)], names=["a", "b", "edit_similarity"])
 
     one, two = (classes.select(F.col("cls").alias(i), F.col("tokens").alias(t)) for i, t in (("a", "x"), ("b", "y")))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -169,13 +176,13 @@ class NearDuplicates:
     form one class, are compared once and are near-duplicates of each other. Contents are used whole. An empty table: no rows.
     """
 
-    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, mer: int = 4, take: int = 3, bands: int = 40, block: int = 256, width: int = 12, seed: int = 1) -> None:
-        if least_words < max(k, mer + take - 1):
+    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 16), (4, 3, 20)), block: int = 256, width: int = 12, seed: int = 1) -> None:
+        if least_words < max(k, *(mer + take - 1 for mer, take, _ in sketches)):
             raise ValueError("texts must have enough words for a sketch")
         self.rows = materialize(texts(df, row_column, id_column, content_column, least_words), "p4-rows")
         firsts = self.rows.where("tokens is not null")
         classes = firsts.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-        pairs = candidates(banded(firsts, mer, take, bands, seed), block)
+        pairs = candidates(banded(firsts, sketches, seed), block)
         #: (a, b, edit_similarity) between classes
         self.links = materialize(similar(pairs, classes, k, threshold, width), "p4-links")
 
