@@ -35,35 +35,43 @@ def lowered(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return tokens, spans[:, 0], spans[:, 1]
 
 
-def teaching(documents: list[tuple[str, str]], rng: np.random.Generator, repeats: int = 1) -> list:
-    """Code-switched sequences out of pieces of labelled texts, and each language's lexicon."""
+Piece = tuple[list[str], int]
+
+
+def cut(documents: list[tuple[str, str]], rng: np.random.Generator) -> list[Piece]:
+    """Pieces of 15 to 69 words of labelled texts, and their label. Labels may be wrong and texts mixed: a piece in which another
+    language's function words are more frequent is left out."""
     pieces = []
     for text, lang in documents:
         tokens = lowered(text)[0]
         at = 0
         while at < len(tokens):
             n = int(rng.integers(15, 70))
-            pieces.append((tokens[at : at + n], LANGUAGES.index(lang)))
-            at += n
-    out = []
-    for _ in range(repeats):
-        order, at = rng.permutation(len(pieces)), 0
-        while at < len(order):
-            n = int(rng.integers(1, 4))
-            out.append([pieces[i] for i in order[at : at + n]])
+            if plausible(tokens[at : at + n], lang):
+                pieces.append((tokens[at : at + n], LANGUAGES.index(lang)))
             at += n
+    return pieces
+
+
+def teaching(pieces: list[Piece], rng: np.random.Generator) -> list[list[Piece]]:
+    """Code-switched sequences of one to three pieces, and each language's lexicon."""
+    out, order, at = [], rng.permutation(len(pieces)), 0
+    while at < len(order):
+        n = int(rng.integers(1, 4))
+        out.append([pieces[i] for i in order[at : at + n]])
+        at += n
     for lang, text in LEXICON.items():
         out += [[(text.split(), LANGUAGES.index(lang))]] * 2
     return out
 
 
-def plausible(text: str, lang: str) -> bool:
-    """Whether no language has more function words in the text than the given one. Kana stand for Japanese."""
+def plausible(tokens: list[str], lang: str) -> bool:
+    """Whether no language has more function words among the tokens than the given one. Kana stand for Japanese."""
     counts = dict.fromkeys(LANGUAGES, 0)
-    for w in lowered(text)[0]:
+    for w in tokens:
         for known in _LANGUAGES_OF.get(w, ()):
             counts[known] += 1
-    counts["ja"] = sum("\u3040" <= c <= "\u30ff" for c in text)
+    counts["ja"] = sum("\u3040" <= c <= "\u30ff" for w in tokens for c in w)
     return counts[lang] == max(counts.values()) > 0
 
 
@@ -76,8 +84,8 @@ for _lang, _text in LEXICON.items():
 def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", per_language: int = 120, seed: int = 1) -> Model:
     """A model fitted on a bounded sample: at most `per_language` of the rows whose label names each language, drawn by hash.
 
-    Labels may be wrong: sampled texts in which another language's function words are more frequent are dropped, then those of
-    which a first model takes a tenth of the words or more for another language; the rest are used for the second model. Without
+    Labels may be wrong: pieces of texts in which another language's function words are more frequent are dropped, then those of
+    which a first model takes a fifth of the words or more for another language; the rest are used for the second model. Without
     labelled rows only the fixed lexicons teach.
     """
     hashed = df.select(F.col(text_column).cast("string").alias("t"), named_language(F.col(label_column).cast("string")).alias("l")).where("l is not null and length(t) >= 40")
@@ -88,18 +96,10 @@ def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", pe
     nth = F.row_number().over(Window.partitionBy("l").orderBy("s.h", "s.t"))
     rows = hashed.select("l", entry.alias("s")).withColumn("nth", nth).where(F.col("nth") <= per_language).select("l", "s.t").orderBy("l", "t").collect()
     rng = np.random.default_rng(seed)
-    sample = [(r.t, r.l) for r in rows if plausible(r.t, r.l)]
-    first = train(teaching(sample, rng), rounds=20)
-    kept = []
-    for text, lang in sample:
-        tokens = lowered(text)[0]
-        if not tokens:
-            continue
-        post = posteriors(first, [tokens])[0]
-        own = LANGUAGES.index(lang)
-        top = post.argmax(axis=1)
-        if (top == own).mean() > 0.9:
-            kept.append((text, lang))
+    pieces = cut([(r.t, r.l) for r in rows], rng)
+    first = train(teaching(pieces, rng), rounds=20)
+    post = posteriors(first, [tokens for tokens, _ in pieces])
+    kept = [p for p, x in zip(pieces, post, strict=True) if (x.argmax(axis=1) == p[1]).mean() > 0.8]
     return train(teaching(kept, rng), rounds=40)
 
 
@@ -127,7 +127,7 @@ def posteriors(model: Model, texts: list[list[str]], cells: int = 400_000) -> li
 def passages(post: np.ndarray, start: np.ndarray, end: np.ndarray, least_chars: int) -> list[tuple[int, int, int, float]]:
     """(language, start, end, confidence): runs of words of one language.
 
-    Runs shorter than least_chars are stray words and belong to what surrounds them: to the run before, or the first one after.
+    Runs shorter than least_chars are stray words and go to the longer of their neighbours, the earlier one if these are equal.
     Confidence: the words' mean probability of the run's language.
     """
     label = post.argmax(axis=1)
@@ -137,12 +137,12 @@ def passages(post: np.ndarray, start: np.ndarray, end: np.ndarray, least_chars:
         chars = end[stop - 1] - start[begin]
         if len(begin) == 1 or chars.min() >= least_chars:
             break
-        i = int(chars.argmin())  # the shortest first, so that long ones absorb short ones
-        if 0 < i < len(begin) - 1:
-            near = i - 1 if chars[i - 1] >= chars[i + 1] else i + 1
-        else:
-            near = 1 if i == 0 else i - 1
-        label[begin[i] : stop[i]] = label[begin[near]]
+        # the shortest around go first, so that long ones absorb short ones; no two neighbours go in one round
+        before, after = np.concatenate([[-1], chars[:-1]]), np.concatenate([chars[1:], [-1]])
+        go = (chars < least_chars) & ((before < 0) | (chars < before)) & ((after < 0) | (chars <= after))
+        for i in np.flatnonzero(go):
+            near = i - 1 if before[i] >= after[i] else i + 1
+            label[begin[i] : stop[i]] = label[begin[near]]
     return [(int(label[b]), int(start[b]), int(end[s - 1]), float(post[b:s, label[b]].mean())) for b, s in zip(begin, stop, strict=True)]
 
 

@@ -84,15 +84,15 @@ def find(g: Grams, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_grams: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words): every place where n consecutive words of an item (all, if it has fewer) occur one
+    """(doc_id, text_key, item_id, first_word, n_words): every place where n consecutive words of an item (all, if it has fewer) occur one
     after another as words of a document.
 
     The items' grams are broadcast in blocks of at most `block_grams`, each of which scans the documents once; so the broadcast is
     bounded whatever the number of items. Items and documents with null id, null text or no words have no hits. Texts are scanned
-    whole. Documents given twice are reported twice.
+    whole. Documents given twice are reported twice; text_key, a hash of the text, tells different texts of one id apart.
     """
     spark = documents.sparkSession
-    schema = "doc_id long, item_id long, first_word int, n_words int"
+    schema = "doc_id long, text_key long, item_id long, first_word int, n_words int"
     blocks: list[list[tuple[int, list[str]]]] = [[]]
     room = block_grams
     listed = items.select(F.col(item_column).cast("long").alias("i"), F.col(item_text_column).cast("string").alias("t")).dropna()
@@ -104,7 +104,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_column
             room = block_grams
         blocks[-1].append((row.i, tokens))
         room -= cost
-    picked = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t")).dropna()
+    picked = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t")).dropna().withColumn("text_key", F.xxhash64("t"))
 
     def scan(block: list[tuple[int, list[str]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(build(block, n))
@@ -115,9 +115,9 @@ def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_column
                 for at in range(0, batch.num_rows, 1024):
                     piece = batch.slice(at, 1024)
                     hits = find(g, [words(t) for t in piece.column(1).to_pylist()])
-                    doc = piece.column(0).to_pylist()
                     columns = list(zip(*hits, strict=True)) or [()] * 4
-                    yield pa.record_batch([pa.array([doc[i] for i in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "item_id", "first_word", "n_words"])
+                    at_text = pa.array(columns[0], pa.int64())
+                    yield pa.record_batch([piece.column(0).take(at_text), piece.column(2).take(at_text), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "text_key", "item_id", "first_word", "n_words"])
 
         return picked.mapInArrow(run, schema)
 
@@ -132,10 +132,11 @@ def leaked_pairs(spans: DataFrame) -> DataFrame:
 def without_leaks(documents: DataFrame, spans: DataFrame, doc_column: str = "doc_id", text_column: str = "text", mark: str = " ") -> DataFrame:
     """(doc_id, clean_text, removed_words): every document; leaked word spans and what lies between their words are cut out.
 
-    A document given twice under one id is cleaned in both copies. Null texts stay null.
+    A document given twice is cleaned in both copies. Null texts stay null.
     """
-    by_doc = spans.select(F.col("doc_id").alias("__doc"), F.struct("first_word", "n_words").alias("s")).groupBy("__doc").agg(F.collect_set("s").alias("cuts"))
-    picked = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t")).join(by_doc, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "t", "cuts")
+    by_doc = spans.select("doc_id", "text_key", F.struct("first_word", "n_words").alias("s")).groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("cuts"))
+    picked = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t")).withColumn("text_key", F.xxhash64("t"))
+    picked = picked.join(by_doc, ["doc_id", "text_key"], "left").select("doc_id", "t", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

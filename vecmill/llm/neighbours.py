@@ -26,7 +26,7 @@ DECIMALS = 9
 
 def to_planes(v: np.ndarray) -> np.ndarray:
     """float32 rows with the bytes of equal weight together, which compress better."""
-    return np.ascontiguousarray(v.astype("<f4").view(np.uint8).reshape(len(v), -1, 4).transpose(0, 2, 1)).reshape(len(v), -1)
+    return np.ascontiguousarray(v.astype("<f4").view(np.uint8).reshape(len(v), v.shape[1], 4).transpose(0, 2, 1)).reshape(len(v), 4 * v.shape[1])
 
 
 def from_planes(column: pa.Array, dim: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def usable(df: DataFrame, id_column: str, vector_column: str, dim: int) -> DataF
             v = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
             good = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
             v = v[good] + np.float32(0)  # -0 is 0
-            keys = pa.array([digest(x) for x in map(bytes, v.view(np.uint8).reshape(len(v), -1))], pa.binary())
+            keys = pa.array([digest(x) for x in map(bytes, v.view(np.uint8).reshape(len(v), 4 * dim))], pa.binary())
             yield pa.record_batch([ids.filter(pa.array(good)), keys, binary(to_planes(v))], names=["row_id", "key", "vec"])
 
     picked = df.select(F.col(id_column).cast("long").alias("row_id"), F.col(vector_column).cast("array<float>").alias("v"))

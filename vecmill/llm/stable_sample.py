@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ class PermanentSample:
         All rows of an identifier, however written, come or stay away together. Rows with a null identifier, or one that was never
         inserted, stay away. All columns of df are kept; one named `u` is replaced.
         """
-        chosen = self.registry().where(F.col("u") < self.threshold(share)).select(F.col("id").alias("__id"), F.col("u").alias("__u"))
-        keyed = df.drop("u").withColumn("__id", written_alike(F.col(column).cast("string")))
-        # identifiers repeat at will: the side with one row for each is the registry's
-        return keyed.join(chosen, "__id").withColumnRenamed("__u", "u").drop("__id")
+        key, number = (f"{x}_{uuid.uuid4().hex}" for x in "ku")  # names no column of df has
+        chosen = self.registry().where(F.col("u") < self.threshold(share)).select(F.col("id").alias(key), F.col("u").alias(number))
+        keyed = df.withColumn(key, written_alike(F.col(column).cast("string")))
+        # An identifier may hold a third of df: its side of the join has it once, and AQE splits the other.
+        return keyed.join(chosen, key).drop("u", key).withColumnRenamed(number, "u")
