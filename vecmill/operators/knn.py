@@ -46,16 +46,20 @@ def prepared(v: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def blocks_of(queries: DataFrame, columns: list[str], rows: int) -> Iterator[list]:
-    """The queries, a bounded block at a time."""
-    block: list = []
-    for row in queries.select(*columns).toLocalIterator():
-        block.append(row)
+def blocks_of(queries: DataFrame, rows: int) -> Iterator[pa.Table]:
+    """The queries, a bounded block at a time: one Arrow table where they fit in a block, else one partition after the other."""
+    first = queries.limit(rows + 1).toArrow()
+    if first.num_rows <= rows:
+        yield first
+        return
+    block: list[dict] = []
+    for row in queries.toLocalIterator():
+        block.append(row.asDict())
         if len(block) == rows:
-            yield block
+            yield pa.Table.from_pylist(block, first.schema)
             block = []
     if block:
-        yield block
+        yield pa.Table.from_pylist(block, first.schema)
 
 
 def survivors(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +77,14 @@ def survivors(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return q[keep], r[keep]
 
 
-def knn_join(queries: DataFrame, table: DataFrame, k: int, vector_column: str, dim: int, ties: list[str], keep: list[str] | None = None, query_id: str = "query_id", query_vector: str = "vector", metric: str = "cosine", block_rows: int = 2048) -> DataFrame:
+def knn_join(queries: DataFrame | pa.Table, table: DataFrame, k: int, vector_column: str, dim: int, ties: list[str], keep: list[str] | None = None, query_id: str = "query_id", query_vector: str = "vector", metric: str = "cosine", block_rows: int = 2048) -> DataFrame:
     """(query_id, hit_rank, similarity, *ties, *keep): the k most similar rows of the table for every query.
 
     Equally similar rows are ordered by the columns `ties` (nulls first), which should tell rows apart. Rows and queries whose vector is
     null, has null elements or not `dim` elements take no part; zero, NaN and infinite vectors have similarity 0 to all. A table
     with fewer than k rows gives all of them. Filter the table before the join to pre-filter. No cross join is built: a block of
-    at most `block_rows` queries is broadcast, and a task sends on no more than k rows a query.
+    at most `block_rows` queries is broadcast, and a task sends on no more than k rows a query. Queries that are at hand may be given as
+    an Arrow table with the columns q (long) and v.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -87,16 +92,12 @@ def knn_join(queries: DataFrame, table: DataFrame, k: int, vector_column: str, d
     carried = [*ties, *keep]
     spark = table.sparkSession
     picked = table.select(*carried, F.col(vector_column).alias("__vector"))
-    id_kind = queries.schema[query_id].dataType.simpleString()
+    id_kind = "bigint" if isinstance(queries, pa.Table) else queries.schema[query_id].dataType.simpleString()
     schema = ", ".join(["query_id " + id_kind, "similarity double", *(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in carried)])
-    id_type = pa.from_numpy_dtype(np.int64) if id_kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    if id_kind == "int":
-        id_type = pa.int32()
 
-    def scan(block: list) -> DataFrame:
-        names = [r[0] for r in block]
-        right, v = vectors_of(pa.array([r[1] for r in block], pa.list_(pa.float64())), dim)
-        shared = spark.sparkContext.broadcast((pa.array([names[i] for i in right], id_type), prepared(v, metric)))
+    def scan(block: pa.Table) -> DataFrame:
+        right, v = vectors_of(block.column("v"), dim)
+        shared = spark.sparkContext.broadcast((block.column("q").combine_chunks().take(pa.array(right)), prepared(v, metric)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
@@ -127,8 +128,11 @@ def knn_join(queries: DataFrame, table: DataFrame, k: int, vector_column: str, d
 
         return picked.mapInArrow(run, schema)
 
-    parts = [scan(b) for b in blocks_of(queries.where(F.col(query_id).isNotNull()), [query_id, query_vector], block_rows)]
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    if isinstance(queries, pa.Table):
+        blocks = iter([queries])
+    else:
+        blocks = blocks_of(queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")), block_rows)
+    found = reduce(DataFrame.unionByName, map(scan, blocks))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *(F.asc_nulls_first(c) for c in ties))
     return found.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= k).select("query_id", "hit_rank", "similarity", *carried)
 
@@ -149,7 +153,7 @@ def top_k(table: DataFrame, vector: list[float], k: int, vector_column: str, tie
     """The k rows most similar to one vector, most similar first: columns `select` (all but the vector if not given), the ties and `similarity`.
 
     The filter comes before the ranking. Required columns win over the selection."""
-    queries = table.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
+    queries = pa.table({"q": pa.array([0]), "v": pa.array([[float(x) for x in vector]], pa.list_(pa.float64()))})
     wanted = [c for c in table.columns if c != vector_column] if select is None else select
     hits = knn_join(queries, table.where(as_filter(where)), k, vector_column, len(vector), ties, wanted, metric=metric)
     return hits.select(*dict.fromkeys([*wanted, *ties]), "similarity", "hit_rank").orderBy("hit_rank")

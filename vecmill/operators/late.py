@@ -47,10 +47,9 @@ def best_similarities(query_tokens: DataFrame, tokens: DataFrame, dim: int, pair
     if pairs is not None:
         valid = pairs.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id")).distinct().join(valid, "doc_id")
 
-    def scan(block: list) -> DataFrame:
-        right, v = vectors_of(pa.array([list(r.token_embedding) if r.token_embedding is not None else None for r in block], pa.list_(pa.float64())), dim)
-        query = np.array([block[i].query_id for i in right], np.int64)
-        position = np.array([block[i].position for i in right], np.int32)
+    def scan(block: pa.Table) -> DataFrame:
+        right, v = vectors_of(block.column("token_embedding"), dim)
+        query, position = (block.column(c).to_numpy()[right] for c in ("query_id", "position"))
         order = np.lexsort((position, query))
         shared = spark.sparkContext.broadcast((query[order], position[order], unit_rows(v)[order]))
 
@@ -85,8 +84,8 @@ def best_similarities(query_tokens: DataFrame, tokens: DataFrame, dim: int, pair
 
         return valid.mapInArrow(run, schema)
 
-    parts = [scan(b) for b in blocks_of(query_tokens.where("query_id is not null and position is not null"), ["query_id", "position", "token_embedding"], block_rows)]
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    asked = query_tokens.where("query_id is not null and position is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("position").cast("int").alias("position"), "token_embedding")
+    found = reduce(DataFrame.unionByName, map(scan, blocks_of(asked, block_rows)))
     return found.groupBy("query_id", "position", "doc_id").agg(F.max("best").alias("best"))
 
 
