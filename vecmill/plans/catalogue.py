@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params, text, vectors
 from ..operators import batches, knn, late, multivector, pooling
+from ..operators.cells import CellIndex
 from ..operators.encoders import HashingEncoder, encode_column, encode_tokens, parallel_map
 from ..session import new_path
 from ..sources.index import LateIndex
@@ -103,6 +104,25 @@ def knn_join_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(asked, table, 10, "embedding", 64, ["vec_id"])
 
 
+@_query()
+def cell_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table indexed by cells, asked by every hundredth row; approximate."""
+    chunks = _read(spark, sf_dir, CHUNKS)
+    index = CellIndex.build(chunks, new_path(spark, "cells"), "multi_embeddings", 64, ["row_id"], cell_rows=500)
+    return index.search(chunks.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.col("multi_embeddings").alias("vector")), 10, probes=4)
+
+
+@_query(f"""
+    SELECT q.row_id AS query_id, t.row_id, {_cos('t.multi_embeddings', 'q.multi_embeddings')} AS similarity,
+      row_number() OVER (PARTITION BY q.row_id ORDER BY {_cos('t.multi_embeddings', 'q.multi_embeddings')} DESC, t.row_id) AS hit_rank
+    FROM astra_multi_vector_table t, astra_multi_vector_table q WHERE q.row_id % 100 = 0 AND {_usable('t.multi_embeddings', 64)} AND {_usable('q.multi_embeddings', 64)} QUALIFY hit_rank <= 10""")
+def cell_index_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all cells probed, which is exact."""
+    chunks = _read(spark, sf_dir, CHUNKS)
+    index = CellIndex.build(chunks, new_path(spark, "cells"), "multi_embeddings", 64, ["row_id"], cell_rows=2000)
+    return index.search(chunks.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.col("multi_embeddings").alias("vector")), 10, probes=4096)
+
+
 # Several vector columns --------------------------------------------------------------------------------------------------------
 
 
