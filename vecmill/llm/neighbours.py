@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.clustering import best, kmeans, nearest
 from .common import binary, digest, list_lengths, materialize, matrix
 
 DECIMALS = 9
@@ -41,34 +42,6 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
-    """Lloyd's algorithm; a centroid that loses all its points keeps its place."""
-    k = max(1, min(k, len(x)))
-    c = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
-    for _ in range(rounds):
-        near = nearest(x, c, spherical)
-        order = np.argsort(near, kind="stable")
-        count = np.bincount(near, minlength=k)
-        full = np.flatnonzero(count)
-        start = np.concatenate([[0], np.cumsum(count)[:-1]])
-        total = np.add.reduceat(x[order], start[full], axis=0)
-        c[full] = total / count[full, None]
-        if spherical:
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def nearest(x: np.ndarray, c: np.ndarray, spherical: bool) -> np.ndarray:
-    half = 0 if spherical else 0.5 * np.einsum("ij,ij->i", c, c)
-    return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
-
-
-def best(scores: np.ndarray, n: int) -> np.ndarray:
-    """Columns of the n largest scores in each row, in no order."""
-    n = min(n, scores.shape[1])
-    return np.argpartition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n :]
-
-
 class Codebooks:
     """Product quantiser: `parts` subspaces with `words` codewords each."""
 
