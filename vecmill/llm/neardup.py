@@ -1,8 +1,8 @@
 """Problem 4: near-duplicates, by Order MinHash candidates verified by banded alignment.
 
 A sketch holds, for each of a number of hash functions, the `take` least occurrence-labelled k-mers of words in text order. Texts that
-share a band are candidates. Two kinds of sketches are drawn: pairs of long k-mers, which few unrelated texts share, find moved
-passages; triples of short ones find texts with edits all over. An alignment of the words within a band around the diagonal gives their edit similarity; where the
+share a band are candidates. Three kinds of sketches are drawn: pairs of long k-mers, which few unrelated texts share; triples of short
+ones for edits all over a text; and single ones of ten words, which have no order to lose, for moved sentences. An alignment of the words within a band around the diagonal gives their edit similarity; where the
 edits it found leave too little to be sure of the measure asked for, the k-word sequences themselves are compared.
 """
 
@@ -176,7 +176,7 @@ class NearDuplicates:
     form one class, are compared once and are near-duplicates of each other. Contents are used whole. An empty table: no rows.
     """
 
-    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 16), (4, 3, 20)), block: int = 256, width: int = 12, seed: int = 1) -> None:
+    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 12), (4, 3, 8), (10, 1, 8)), block: int = 256, width: int = 12, seed: int = 1) -> None:
         if least_words < max(k, *(mer + take - 1 for mer, take, _ in sketches)):
             raise ValueError("texts must have enough words for a sketch")
         self.rows = materialize(texts(df, row_column, id_column, content_column, least_words), "p4-rows")
