@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.params import CANDIDATES, TOKENS, expand_parameter
+from ..session import materialize
 from .knn import blocks_of, knn_join, unit_rows, vectors_of
 
 
@@ -36,12 +37,13 @@ def candidates(hits: DataFrame, m: int) -> DataFrame:
 
 
 def best_similarities(query_tokens: DataFrame, tokens: DataFrame, dim: int, pairs: DataFrame | None = None, block_rows: int = 4096) -> DataFrame:
-    """(query_id, position, doc_id, best): the largest cosine between a query token and any token of a document.
+    """(query_id, position, doc_id, best, n_tokens): the largest cosine between a query token and any token of a document, and how many
+    tokens the document has.
 
     pairs: (query_id, doc_id) to look at; without it every query meets every document, in bounded blocks of query tokens. Each task
     sends on one row for each query token and document it has."""
     spark = tokens.sparkSession
-    schema = "query_id long, position int, doc_id string, best double"
+    schema = "query_id long, position int, doc_id string, best double, n_tokens long"
     valid = tokens.select(F.col("doc_id").cast("string").alias("doc_id"), "token_embedding").where("doc_id is not null")
     everything = pairs is None
     if pairs is not None:
@@ -59,11 +61,12 @@ def best_similarities(query_tokens: DataFrame, tokens: DataFrame, dim: int, pair
             inverse, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
             order = np.argsort(inverse, kind="stable")
             start = np.searchsorted(inverse[order], np.arange(len(names)))
+            held = np.diff(np.append(start, len(order)))
             step = max(1, 4_000_000 // max(1, len(order)))
             for a in range(lo, hi, step):
                 b = min(hi, a + step)
                 top = np.maximum.reduceat(v[order] @ q[a:b].T, start, axis=0)
-                yield pa.record_batch([pa.array(np.tile(query[a:b], len(names))), pa.array(np.tile(position[a:b], len(names))), names.take(pa.array(np.repeat(np.arange(len(names)), b - a))), pa.array(top.ravel())], names=["query_id", "position", "doc_id", "best"])
+                yield pa.record_batch([pa.array(np.tile(query[a:b], len(names))), pa.array(np.tile(position[a:b], len(names))), names.take(pa.array(np.repeat(np.arange(len(names)), b - a))), pa.array(top.ravel()), pa.array(np.repeat(held, b - a))], names=["query_id", "position", "doc_id", "best", "n_tokens"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query = shared.value[0]
@@ -86,13 +89,7 @@ def best_similarities(query_tokens: DataFrame, tokens: DataFrame, dim: int, pair
 
     asked = query_tokens.where("query_id is not null and position is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("position").cast("int").alias("position"), "token_embedding")
     found = reduce(DataFrame.unionByName, map(scan, blocks_of(asked, block_rows)))
-    return found.groupBy("query_id", "position", "doc_id").agg(F.max("best").alias("best"))
-
-
-def token_counts(tokens: DataFrame, dim: int) -> DataFrame:
-    """(doc_id, n_tokens): stored token vectors of the right length for each document."""
-    good = (F.size("token_embedding") == dim) & ~F.exists("token_embedding", lambda x: x.isNull())
-    return tokens.where("doc_id is not null").where(good).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    return found.groupBy("query_id", "position", "doc_id").agg(F.max("best").alias("best"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def maxsim(query_tokens: DataFrame, tokens: DataFrame, dim: int, pairs: DataFrame | None = None) -> DataFrame:
@@ -101,12 +98,11 @@ def maxsim(query_tokens: DataFrame, tokens: DataFrame, dim: int, pairs: DataFram
     Documents are compared as if filled up with zero vectors to the longest of the query's set: in shorter ones no query token
     counts less than 0. Zero, NaN and infinite vectors count as zero vectors."""
     best = best_similarities(query_tokens, tokens, dim, pairs)
-    counts = token_counts(tokens, dim)
-    # A query's documents all have tokens here; the longest of them sets the length.
-    sized = best.join(counts, "doc_id")
-    longest = F.max("n_tokens").over(Window.partitionBy("query_id"))
-    each = sized.groupBy("query_id", "doc_id", "n_tokens").agg(F.sum("best").alias("open"), F.sum(F.greatest("best", F.lit(0.0))).alias("filled"))
-    score = F.when(F.col("n_tokens") < longest, F.col("filled")).otherwise(F.col("open"))
+    each = best.groupBy("query_id", "doc_id").agg(F.sum("best").alias("open"), F.sum(F.greatest("best", F.lit(0.0))).alias("filled"), F.max("n_tokens").alias("n_tokens"))
+    # One row a query; a window would bring all documents of a query into one task.
+    longest = each.groupBy(F.col("query_id")).agg(F.max("n_tokens").alias("longest"))
+    each = each.join(longest, "query_id")
+    score = F.when(F.col("n_tokens") < F.col("longest"), F.col("filled")).otherwise(F.col("open"))
     return each.select("query_id", "doc_id", F.round(score, 9).alias("score"))
 
 
@@ -125,7 +121,8 @@ def search(query_tokens: DataFrame, tokens: DataFrame, documents: DataFrame, dim
     if k < 1:
         raise ValueError("k must be at least 1")
     hits = token_hits(query_tokens, tokens, n_tokens or expand_parameter(k, *TOKENS), dim, metric)
-    chosen = candidates(hits, n_candidates or expand_parameter(k, *CANDIDATES))
+    # A few rows a query, used twice: written once, so that the tokens are not scanned again for them.
+    chosen = materialize(candidates(hits, n_candidates or expand_parameter(k, *CANDIDATES)), "candidates")
     scores = maxsim(query_tokens, tokens, dim, chosen)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_rank", "doc_id")
     ranked = scores.join(chosen.select("query_id", "doc_id", "candidate_rank"), ["query_id", "doc_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
