@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .crf import LANGUAGES, LEXICON, TOKEN, Model, forward_backward, train
 
@@ -81,18 +82,17 @@ for _lang, _text in LEXICON.items():
         _LANGUAGES_OF.setdefault(_word, []).append(_lang)
 
 
-def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", per_language: int = 120, seed: int = 1) -> Model:
-    """A model fitted on a bounded sample: at most `per_language` of the rows whose label names each language, drawn by hash.
+def fit(df: DataFrame, text_column: str = "text", label_column: str = "lang", per_language: int = 120, most_chars: int = 50_000, seed: int = 1) -> Model:
+    """A model fitted on a bounded sample: at most `per_language` of the rows whose label names each language, drawn by hash among those
+    of 40 to `most_chars` characters.
 
     Labels may be wrong: pieces of texts in which another language's function words are more frequent are dropped, then those of
     which a first model takes a fifth of the words or more for another language; the rest are used for the second model. Without
     labelled rows only the fixed lexicons teach.
     """
-    hashed = df.select(F.col(text_column).cast("string").alias("t"), named_language(F.col(label_column).cast("string")).alias("l")).where("l is not null and length(t) >= 40")
+    hashed = df.select(F.col(text_column).cast("string").alias("t"), named_language(F.col(label_column).cast("string")).alias("l")).where(f"l is not null and length(t) between 40 and {most_chars}")
     entry = F.struct(F.xxhash64("t", F.lit(seed)).alias("h"), F.col("t"))
     # For each language the least hashes: each task keeps no more than it may send.
-    from pyspark.sql.window import Window
-
     nth = F.row_number().over(Window.partitionBy("l").orderBy("s.h", "s.t"))
     rows = hashed.select("l", entry.alias("s")).withColumn("nth", nth).where(F.col("nth") <= per_language).select("l", "s.t").orderBy("l", "t").collect()
     rng = np.random.default_rng(seed)
