@@ -83,3 +83,13 @@ def test_rerank(spark):
     assert multivector.rerank(hits.limit(0), asked).count() == 0
     with pytest.raises(ValueError):
         multivector.search_and_rerank(asked, hits, [], score=None)
+
+
+def test_rerank_keeps_hits_without_query_text(spark):
+    hits = spark.createDataFrame([(1, "a", "red red"), (1, "b", "red fox"), (2, "c", "x"), (3, "e", "x"), (3, "d", "red fox"), (None, "f", "x")], "query_id long, id string, content string")
+    asked = spark.createDataFrame([(1, "Red fox!"), (2, None), (None, "x")], "query_id long, query string")
+    want = [(None, "f", 0.0, 1), (1, "b", 1.0, 1), (1, "a", 0.5, 2), (2, "c", 0.0, 1), (3, "d", 0.0, 1), (3, "e", 0.0, 2)]
+    for score in (multivector.lexical_overlap, lambda q, c: F.length(q) * 0 + multivector.lexical_overlap(q, c)):  # the second has no score for null
+        got = multivector.rerank(hits, asked, score, keep=True).orderBy("query_id", "rerank_rank").collect()
+        assert [(r.query_id, r.id, r.rerank_score, r.rerank_rank) for r in got] == want
+    assert len(multivector.rerank(hits, asked, keep=True, limit=1).collect()) == 4

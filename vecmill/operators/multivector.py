@@ -59,13 +59,17 @@ def lexical_overlap(query: Column, content: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column] = lexical_overlap, limit: int | None = None, id_column: str = "id", content_column: str = "content", query_column: str = "query") -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column] = lexical_overlap, limit: int | None = None, id_column: str = "id", content_column: str = "content", query_column: str = "query", keep: bool = False) -> DataFrame:
     """hits with rerank_score and rerank_rank, best first and no more than `limit` a query. Ties: the smaller id.
 
     queries: query_id and the query's text. score: an expression of query and content; a pandas UDF serves for models. No hits give
-    no rows and the scorer is not called."""
+    no rows and the scorer is not called. Hits of a query that `queries` doesn't have are dropped; with keep they stay, and what has
+    no query text has score 0 and so is ranked by id."""
     texts = queries.select("query_id", F.col(query_column).alias("__query")).where("query_id is not null").dropDuplicates(["query_id"])
-    scored = hits.join(texts, "query_id").withColumn("rerank_score", F.round(score(F.col("__query"), F.col(content_column)), 9)).drop("__query")
+    value = F.round(score(F.col("__query"), F.col(content_column)), 9)
+    if keep:
+        value = F.when(F.col("__query").isNotNull(), value).otherwise(F.lit(0.0))
+    scored = hits.join(texts, "query_id", "left" if keep else "inner").withColumn("rerank_score", value).drop("__query")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc_nulls_first(id_column))
     ranked = scored.withColumn("rerank_rank", F.row_number().over(order))
     return ranked if limit is None else ranked.where(F.col("rerank_rank") <= limit)
