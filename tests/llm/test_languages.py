@@ -78,3 +78,23 @@ def test_without_labels_or_rows(spark, labelled):
     assert language_passages(labelled.limit(0), model).count() == 0
     got = document_languages(language_passages(spark.createDataFrame([(1, "the and of to in is that for it as was with"), (2, "der die und das mit sich auf nicht ein eine werden")], "doc_id long, text string"), model, least_chars=10)).collect()
     assert {r.doc_id: r.lang for r in got} == {1: "en", 2: "de"}
+
+
+def test_every_document_comes_out(spark):
+    rows = [(1, "the and of to in is that for it as was with"), (2, None), (3, ""), (4, "123 456"), (4, "123 456"), (None, "the and of")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = document_languages(language_passages(df, fit(df.limit(0).withColumn("lang", F.lit("en"))), least_chars=10), df).collect()
+    assert {r.doc_id: (r.lang, r.languages) for r in got} == {1: ("en", 1), 2: (None, 0), 3: (None, 0), 4: (None, 0)} and len(got) == 4
+    assert all(0 < r.confidence <= 1 if r.lang else r.confidence == 0 for r in got)
+
+
+def test_every_document_of_the_query_comes_out(spark):
+    import os
+
+    from vecmill.llm.queries import queries
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    ids = [r.doc_id for r in queries()["p8_documents"](spark, sf).collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())

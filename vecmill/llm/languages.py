@@ -172,12 +172,19 @@ def language_passages(df: DataFrame, model: Model, doc_column: str = "doc_id", t
     return picked.mapInArrow(run, "doc_id long, passage int, start_char int, end_char int, lang string, confidence double")
 
 
-def document_languages(found: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence, languages): the language with most characters, its confidence, and how many languages there are."""
+def document_languages(found: DataFrame, df: DataFrame | None = None, doc_column: str = "doc_id") -> DataFrame:
+    """(doc_id, lang, confidence, languages): the language with most characters, its confidence, and how many languages there are.
+
+    df: the documents, of which those without a passage come out too, with null language, confidence 0 and 0 languages; without df
+    they don't. Documents with null id don't come out."""
     chars = F.col("end_char") - F.col("start_char")
     each = found.groupBy("doc_id", "lang").agg(F.sum(chars).alias("chars"), (F.sum(F.col("confidence") * chars) / F.greatest(F.sum(chars), F.lit(1))).alias("confidence"))
     most = F.max_by(F.struct("lang", "confidence"), F.struct("chars", "lang"))
-    return each.groupBy("doc_id").agg(most.alias("m"), F.count("*").alias("languages")).select("doc_id", "m.lang", "m.confidence", "languages")
+    told = each.groupBy("doc_id").agg(most.alias("m"), F.count("*").alias("languages")).select("doc_id", "m.lang", "m.confidence", "languages")
+    if df is None:
+        return told
+    ids = df.select(F.col(doc_column).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(told, "doc_id", "left").select("doc_id", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.lit(0)).alias("languages"))
 
 
 def unlabelled_languages(df: DataFrame, found: DataFrame, doc_column: str = "doc_id", label_column: str = "lang", least_chars: int = 150) -> DataFrame:

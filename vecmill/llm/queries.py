@@ -105,7 +105,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_languages(_languages(spark, sf_dir)[1])
+    documents, found = _languages(spark, sf_dir)
+    return document_languages(found, documents)
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
