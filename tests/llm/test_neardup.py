@@ -101,3 +101,17 @@ def test_no_pair_is_lost_in_large_bands(spark):
     for block in (100, 7, 2):
         got = [tuple(r) for r in candidates(spark.createDataFrame(rows, "band long, cls long"), block).collect()]
         assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
+def test_short_texts_with_scattered_edits(spark):
+    rng = random.Random(5)
+    rows = []
+    for n, edits in [(20, 2)] * 200 + [(25, 3)] * 200:
+        t = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(t)
+        for at in rng.sample(range(n), edits):
+            other[at] = f"w{rng.randrange(10**6)}"
+        rows += [(len(rows), None, " ".join(t)), (len(rows) + 1, None, " ".join(other))]
+    got, want = {tuple(r) for r in NearDuplicates(frame(spark, rows)).row_pairs().collect()}, {p for i in range(0, len(rows), 2) for p in brute(rows[i : i + 2])}
+    short = {p for p in want if p[0] < 400}
+    assert got <= want and len(short) > 100 and len(got & short) >= 0.9 * len(short) and len(got) >= 0.93 * len(want)

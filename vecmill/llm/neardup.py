@@ -1,9 +1,10 @@
 """Problem 4: near-duplicates, by Order MinHash candidates verified by banded alignment.
 
 A sketch holds, for each of a number of hash functions, the `take` least occurrence-labelled k-mers of words in text order. Texts that
-share a band are candidates. Three kinds of sketches are drawn: pairs of long k-mers, which few unrelated texts share; triples of short
-ones for edits all over a text; and single ones of ten words, which have no order to lose, for moved sentences. An alignment of the words within a band around the diagonal gives their edit similarity; where the
-edits it found leave too little to be sure of the measure asked for, the k-word sequences themselves are compared.
+share a band are candidates. Three kinds of sketches are drawn: pairs of long k-mers, which few unrelated texts share; triples of
+short ones for edits all over a text, also a short one; and single ones of ten words, which have no order to lose, for moved
+sentences. Of a candidate pair the k-word sequences themselves are compared; an alignment of the words within a band around the
+diagonal gives the edit similarity of those that share enough.
 """
 
 from __future__ import annotations
@@ -130,9 +131,8 @@ def alignments(xs: list[np.ndarray], ys: list[np.ndarray], width: int) -> np.nda
 def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, width: int, align_words: int = 8192) -> DataFrame:
     """(a, b, edit_similarity) of the pairs whose share of common distinct k-word sequences is at least the threshold.
 
-    An alignment with e edits leaves all but k*e of a text's sequences in the other; where that settles it, the pair is taken.
-    Otherwise (reordered or much edited texts, or one of more than align_words words, whose edit similarity is null) the sequences
-    are compared.
+    The sequences of every pair are compared, which is exact and costs less than an alignment; the pairs that stay are aligned for
+    their edit similarity, which is null if a text has more than align_words words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,23 +144,20 @@ def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, widt
                     flat, starts = token_batches(batch.column(name))
                     split.append(np.split(flat, starts[1:-1]))
                     grams.append(distinct_kmers(flat.astype(np.uint64), starts, k))
+                counts = np.array([[len(g) for g in side] for side in grams])
+                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*grams, strict=True)])
+                good = both >= threshold * (counts.sum(axis=0) - both)
                 size = np.array([[len(t) for t in side] for side in split])
                 longest = size.max(axis=0)
-                distance = longest.copy()  # very long texts are not aligned, their sequences decide
+                distance = longest.copy()
                 order = np.lexsort((size[1], size[0]))
-                order = order[longest[order] <= align_words]
+                order = order[good[order] & (longest[order] <= align_words)]
                 done = 0
                 while done < len(order):  # texts of like length side by side, within a bound of memory
                     step = max(1, min(512, 400_000 // int(size[:, order[done : done + 512]].max())))
                     part = order[done : done + step]
                     distance[part] = alignments([split[0][i] for i in part], [split[1][i] for i in part], width)
                     done += step
-                counts = np.array([[len(g) for g in side] for side in grams])
-                least = np.maximum(0, counts.max(axis=0) - k * distance)
-                good = least >= threshold * (counts.sum(axis=0) - least)
-                for i in np.flatnonzero(~good):
-                    both = len(np.intersect1d(grams[0][i], grams[1][i], assume_unique=True))
-                    good[i] = both >= threshold * (counts[0, i] + counts[1, i] - both)
                 keep = pa.array(good)
                 yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(np.where(longest <= align_words, 1 - distance / longest, np.nan)[good], from_pandas=True)], names=["a", "b", "edit_similarity"])
 
@@ -176,7 +173,7 @@ class NearDuplicates:
     form one class, are compared once and are near-duplicates of each other. Contents are used whole. An empty table: no rows.
     """
 
-    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 12), (4, 3, 8), (10, 1, 8)), block: int = 256, width: int = 12, seed: int = 1) -> None:
+    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 12), (3, 3, 12), (10, 1, 8)), block: int = 256, width: int = 12, seed: int = 1) -> None:
         if least_words < max(k, *(mer + take - 1 for mer, take, _ in sketches)):
             raise ValueError("texts must have enough words for a sketch")
         self.rows = materialize(texts(df, row_column, id_column, content_column, least_words), "p4-rows")
