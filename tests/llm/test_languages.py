@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecmill.llm.crf import LANGUAGES, LEXICON, forward_backward
+from vecmill.llm.crf import BUCKETS, LANGUAGES, LEXICON, features, forward_backward
 from vecmill.llm.languages import document_languages, fit, language_passages, named_language, passages, unlabelled_languages
 
 RNG = random.Random(1)
@@ -47,6 +47,15 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(moves, expected)
 
 
+def test_features_of_a_long_word_are_of_all_of_it():
+    import xxhash
+
+    bucket = lambda name: xxhash.xxh3_64_intdigest(name) % BUCKETS
+    long = set(features("x" * 60 + "keitq"))
+    assert {bucket(n) for n in ("p<x", "sq>", "stq>", "sitq>", "seitq>", "gkei", "gtq>")} <= long and bucket("sxx>") not in long
+    assert len(features("ab" * 500_000)) < 30
+
+
 def test_labels(spark):
     labels = ["EN", "en-GB", "en_US", "deu", "ger", "pt-BR", "n/a", "", None, "xx", "english", "en GB", " fr "]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string").select("i", named_language(F.col("l")).alias("n")).orderBy("i")

@@ -29,8 +29,8 @@ _KANA, _HAN = re.compile("[぀-ヿｦ-ﾟ]"), re.compile("[㐀-鿿]")
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a lower-cased word's affixes, n-grams, script and the word itself, and of the lexicons that hold it."""
-    w = f"<{word[:40]}>"
+    """Buckets of a lower-cased word's affixes, n-grams, script and the word itself, and of the lexicons that hold it; of whatever length."""
+    w = f"<{word}>"
     names = ["w" + word]
     if _KANA.search(word):
         names.append("kana")
@@ -38,7 +38,7 @@ def features(word: str) -> list[int]:
         names.append("han")
     names += ["p" + w[:n] for n in (2, 3, 4) if len(w) > n]
     names += ["s" + w[-n:] for n in (2, 3, 4, 5) if len(w) > n]
-    names += ["g" + w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
+    names += {"g" + w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
     names += ["x" + lang for lang, known in _KNOWN.items() if word in known]
     return sorted({xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names})
 
