@@ -82,3 +82,18 @@ def test_tables_estimate_inner_products():
     decoded = np.concatenate([b[codes[m]] for m, b in enumerate(book.books)], axis=1)
     assert np.allclose(book.scores(x[:20], codes), decoded @ x[:20].T, atol=1e-4)
     assert len(kmeans(x[:3], 10, 2, rng, False)) == 3
+
+
+def test_samples_within_a_cell_are_parameters(spark, monkeypatch):
+    from vecmill.llm import neighbours
+
+    fitted = []
+    monkeypatch.setattr(neighbours, "kmeans", lambda x, *rest: fitted.append(len(x)) or kmeans(x, *rest))
+    rng = np.random.default_rng(6)
+    v, ids = unit(rng.normal(size=(900, 8)).astype(np.float32)), np.arange(900)
+    for bounds, lists, books in (({}, 400, 256), ({"word_rows": 10, "centre_rows": 20}, 200, 40), ({"word_rows": 10**6, "centre_rows": 10**6}, 900, 900)):
+        fitted.clear()
+        found, _ = neighbours.search_cell(v, ids, v, ids, 5, 3, 20, 90, 2, 4, 1, **bounds)
+        assert fitted == [lists, books, books] and found.shape == (900, 5) and (found >= 0).all()
+    df = frame(spark, list(enumerate(v[:40])))
+    assert collected(all_neighbours(df, dim=8, parts=2, word_rows=10**6, centre_rows=10**6)) == exact(range(40), v[:40], 5)

@@ -3,7 +3,7 @@
 Two levels of coarse centroids. The upper level (cells) is fitted on the driver on a bounded sample and broadcast; its number
 grows with the data so that a cell holds about `cell_rows` vectors. Every vector is stored in its nearest cell and asked of its
 `probe_cells` nearest cells. Within the task that owns a cell, the lower level (lists) and the codebooks of the residuals are
-fitted on the cell's own vectors, each query scans the codes of its `probe_lists` nearest lists through asymmetric distance
+fitted on a bounded sample of the cell's own vectors, each query scans the codes of its `probe_lists` nearest lists through asymmetric distance
 tables, and the `rerank` best by these are compared exactly, in double precision.
 """
 
@@ -43,12 +43,12 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 class Codebooks:
-    """Product quantiser: `parts` subspaces with `words` codewords each."""
+    """Product quantiser: `parts` subspaces with `words` codewords each, fitted on at most `word_rows` residuals a codeword."""
 
-    def __init__(self, residuals: np.ndarray, parts: int, words: int, rng: np.random.Generator) -> None:
+    def __init__(self, residuals: np.ndarray, parts: int, words: int, rng: np.random.Generator, word_rows: int = 64) -> None:
         self.parts = parts
         self.cuts = np.linspace(0, residuals.shape[1], parts + 1).astype(int)
-        x = residuals if len(residuals) <= 64 * words else residuals[rng.choice(len(residuals), 64 * words, replace=False)]
+        x = residuals if len(residuals) <= word_rows * words else residuals[rng.choice(len(residuals), word_rows * words, replace=False)]
         self.books = [kmeans(x[:, a:b], words, 6, rng, False) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def encode(self, residuals: np.ndarray) -> np.ndarray:
@@ -63,21 +63,21 @@ class Codebooks:
         return total
 
 
-def search_cell(stored: np.ndarray, ids: np.ndarray, queries: np.ndarray, asking: np.ndarray, k: int, probe_lists: int, rerank: int, list_rows: int, parts: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def search_cell(stored: np.ndarray, ids: np.ndarray, queries: np.ndarray, asking: np.ndarray, k: int, probe_lists: int, rerank: int, list_rows: int, parts: int, words: int, seed: int, word_rows: int = 64, centre_rows: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """For each query the positions of its k most similar stored vectors (-1: none) and the similarities.
 
     stored, queries: unit rows in double precision; ids, asking: their identifiers, equal ones are left out of the answer.
-    Ties: the smaller identifier.
+    Ties: the smaller identifier. The lists are fitted on at most `centre_rows` vectors a list; all are stored in them.
     """
     rng = np.random.default_rng(seed)
     x, q = stored.astype(np.float32), queries.astype(np.float32)
     lists = max(1, len(x) // list_rows)
-    sample = x if len(x) <= 40 * lists else x[rng.choice(len(x), 40 * lists, replace=False)]
+    sample = x if len(x) <= centre_rows * lists else x[rng.choice(len(x), centre_rows * lists, replace=False)]
     coarse = kmeans(sample, lists, 8, rng, True)
     lists = len(coarse)
     near = nearest(x, coarse, True)
     residual = x - coarse[near]
-    quantiser = Codebooks(residual, parts, words, rng)
+    quantiser = Codebooks(residual, parts, words, rng, word_rows)
     codes = quantiser.encode(residual)
     order = np.argsort(near, kind="stable")
     edge = np.searchsorted(near[order], np.arange(lists + 1))
@@ -135,7 +135,7 @@ def usable(df: DataFrame, id_column: str, vector_column: str, dim: int) -> DataF
 
 
 def all_neighbours(
-    df: DataFrame, id_column: str = "row_id", vector_column: str = "multi_embeddings", dim: int = 64, k: int = 5, cell_rows: int = 12_000, list_rows: int = 80, probe_cells: int = 3, probe_lists: int = 6, rerank: int = 56, sample_rows: int = 65_536, parts: int = 32, words: int = 128, seed: int = 7
+    df: DataFrame, id_column: str = "row_id", vector_column: str = "multi_embeddings", dim: int = 64, k: int = 5, cell_rows: int = 12_000, list_rows: int = 80, probe_cells: int = 3, probe_lists: int = 6, rerank: int = 56, sample_rows: int = 65_536, parts: int = 32, words: int = 128, seed: int = 7, word_rows: int = 64, centre_rows: int = 40
 ) -> DataFrame:
     """(row_id, neighbour_id, similarity): the k most similar other rows of every row with a usable vector.
 
@@ -144,7 +144,9 @@ def all_neighbours(
     Rows with equal vectors are searched once and count as separate answers; ids are taken as unique. Fewer than k+1 usable rows:
     all others come out. An empty table: no rows. Extra columns are ignored.
 
-    The coarse centroids are fitted on about `sample_rows` vectors (a bound; all vectors are indexed); see the module's text.
+    The coarse centroids are fitted on about `sample_rows` vectors; within a cell the lists are fitted on at most `centre_rows`
+    vectors a list and the codebooks on at most `word_rows` a codeword. These are bounds of the fitting; all vectors are encoded
+    and indexed. See the module's text.
     """
     spark = df.sparkSession
     schema = "row_id long, neighbour_id long, similarity double"
@@ -198,7 +200,7 @@ def all_neighbours(
         held = np.flatnonzero(table.column("stored").to_numpy(zero_copy_only=False))
         if not len(held):
             return pa.table([pa.array([], ids.type), pa.array([], ids.type), pa.array([], pa.float64())], names=["ids", "near", "similarity"])
-        found, similarity = search_cell(v[held], name[held], v, name, k, probe_lists, rerank, list_rows, parts, words, seed)
+        found, similarity = search_cell(v[held], name[held], v, name, k, probe_lists, rerank, list_rows, parts, words, seed, word_rows, centre_rows)
         row, slot = np.nonzero(found >= 0)
         return pa.table([ids.take(pa.array(row)), ids.take(pa.array(held[found[row, slot]])), pa.array(similarity[row, slot])], names=["ids", "near", "similarity"])
 
