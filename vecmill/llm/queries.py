@@ -32,7 +32,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The early half of the batches is sampled first, then the rest comes in."""
+    """The early half of the batches is sampled first, then the rest comes in.
+
+    The registry is a new, empty one on each run; runs agree because a number is the md5 of its id. With a path PermanentSample
+    keeps its registry and its largest share from run to run."""
     chunks = _chunks(spark, sf_dir)
     sample = PermanentSample(spark)
     early = F.coalesce(F.col("ingest_batch") <= 5, F.lit(False))
