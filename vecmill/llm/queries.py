@@ -98,6 +98,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def p7_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target whether the share of the drawn tokens is within 0.01 of it, the targets being scaled to the sources that have
+    documents, and no document is drawn more often than it may. The SQL says which sources those are and that all are reached."""
+    near = (F.abs(F.col("actual_share") - F.col("scaled_share")) <= 0.01) & (F.coalesce("most_copies", F.lit(0)) <= F.col("max_repeats"))
+    return _mixture(spark, sf_dir).shares().select("source", F.round("scaled_share", 9).alias("scaled_share"), near.alias("within"))
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = _table(spark, sf_dir, "documents")
     return documents, language_passages(documents, fit(documents))
@@ -117,7 +124,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p4_found, p4_members, p5_found, p5_pieces, p6_found, p6_cleaned, p7_mixture, p7_shares, p8_found, p8_documents, p8_passages)}
+    return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p4_found, p4_members, p5_found, p5_pieces, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_reached, p8_found, p8_documents, p8_passages)}
 
 
 # Ids and contents without what formatting may change; a content of named fields is its sorted set of them.
@@ -152,6 +159,10 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT DISTINCT n FROM g),
             t AS (SELECT doc_id, n, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) AS j FROM d, s))
             SELECT DISTINCT doc_id, item_id FROM t JOIN g USING (n, gram)""",
+        "p7_reached": """
+            WITH s AS (SELECT DISTINCT lower(regexp_replace(source, '[^\\p{L}\\p{N}]+', '', 'g')) AS k FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
+            t AS (SELECT *, lower(regexp_replace(source, '[^\\p{L}\\p{N}]+', '', 'g')) IN (SELECT k FROM s WHERE k <> '') AS has FROM mixture_targets)
+            SELECT source, round(CASE WHEN has THEN target_share / (SELECT sum(target_share) FROM t WHERE has) ELSE 0 END, 9) AS scaled_share, true AS within FROM t""",
         "p5_found": """
             SELECT c.row_id FROM astra_multi_vector_table c JOIN column_options o ON o.book_name = c.book_name AND o.column_name = 'multi_embeddings'
             WHERE length(c.content) > o.max_chars""",
