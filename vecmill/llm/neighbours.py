@@ -46,21 +46,31 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 class Codebooks:
-    """Product quantiser of directions: `parts` subspaces with `words` codewords each, fitted on at most `word_rows` rows a codeword."""
-
-    def __init__(self, directions: np.ndarray, parts: int, words: int, rng: np.random.Generator, word_rows: int = 64) -> None:
-        self.cuts = np.linspace(0, directions.shape[1], parts + 1).astype(int)
-        x = directions if len(directions) <= word_rows * words else directions[rng.choice(len(directions), word_rows * words, replace=False)]
+    """Product quantiser of directions: `parts` subspaces with `words` codewords each, fitted on at most `word_rows` rows a codeword.
+
+    Directions are turned at random before they are cut, and half of the rows are directions drawn at random: turned, directions of any
+    kind are spread like these, so that what the sample shows too coarsely is still told apart."""
+
+    def __init__(self, sample: np.ndarray, parts: int, words: int, rng: np.random.Generator, word_rows: int = 64) -> None:
+        dim = sample.shape[1]
+        self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0].astype(np.float32)
+        self.cuts = np.linspace(0, dim, parts + 1).astype(int)
+        half = word_rows * words // 2
+        x = sample if len(sample) <= half else sample[rng.choice(len(sample), half, replace=False)]
+        x = np.concatenate([x @ self.turn, directions(rng.normal(size=(half, dim)))[0]]).astype(np.float32)
         self.books = [kmeans(x[:, a:b], words, 6, rng, False) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
-    def encode(self, directions: np.ndarray) -> np.ndarray:
-        return np.stack([nearest(directions[:, a:b], book, False) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]).astype(np.int32)
+    def encode(self, rows: np.ndarray) -> np.ndarray:
+        rows = rows @ self.turn
+        return np.stack([nearest(rows[:, a:b], book, False) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]).astype(np.int32)
+
+    def scores(self, turned: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Estimated inner products (codes x queries): one table of query times codeword for each subspace, added up by code.
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Estimated inner products (codes x queries): one table of query times codeword for each subspace, added up by code."""
-        total = np.zeros((codes.shape[1], len(queries)), np.float32)
+        turned: queries @ turn."""
+        total = np.zeros((codes.shape[1], len(turned)), np.float32)
         for m, book in enumerate(self.books):
-            total += (book @ queries[:, self.cuts[m] : self.cuts[m + 1]].T)[codes[m]]
+            total += (book @ turned[:, self.cuts[m] : self.cuts[m + 1]].T)[codes[m]]
         return total
 
 
@@ -145,7 +155,7 @@ class Lists:
 
     def _shortlist(self, q: np.ndarray, probe_lists: int, rerank: int, seen: dict | None) -> tuple[np.ndarray, np.ndarray]:
         """For each query the positions of the best by their codes, and which of them are there."""
-        affinity = q @ self.coarse.T
+        affinity, turned = q @ self.coarse.T, q @ self.books.turn
         probed = best(affinity, probe_lists)
         slots, lists = probed.shape[1], len(self.coarse)
         flat = np.argsort(probed.ravel(), kind="stable")
@@ -157,7 +167,7 @@ class Lists:
             members = self.order[self.edge[one] : self.edge[one + 1]]
             who = flat[begin[one] : begin[one + 1]]
             rows, slot = who // slots, who % slots
-            score = (self.books.scores(q[rows], self.codes[:, members]) * self.length[members, None] + affinity[rows, one]).T
+            score = (self.books.scores(turned[rows], self.codes[:, members]) * self.length[members, None] + affinity[rows, one]).T
             if len(members) <= wide:
                 estimate[rows, slot, : len(members)], chosen[rows, slot, : len(members)] = score, members
             else:
@@ -193,7 +203,7 @@ def usable(df: DataFrame, id_column: str, vector_column: str, dim: int) -> DataF
 
 
 def all_neighbours(
-    df: DataFrame, id_column: str = "row_id", vector_column: str = "multi_embeddings", dim: int = 64, k: int = 5, cell_rows: int = 12_000, list_rows: int = 80, probe_cells: int = 3, probe_lists: int = 7, rerank: int = 48, far_lists: int = 3, far_rerank: int = 20, sample_rows: int = 65_536, most_sample_rows: int = 1_048_576, parts: int = 32, words: int = 128, seed: int = 7, word_rows: int = 64, centre_rows: int = 40
+    df: DataFrame, id_column: str = "row_id", vector_column: str = "multi_embeddings", dim: int = 64, k: int = 5, cell_rows: int = 12_000, list_rows: int = 80, probe_cells: int = 3, probe_lists: int = 8, rerank: int = 56, far_lists: int = 3, far_rerank: int = 20, sample_rows: int = 65_536, most_sample_rows: int = 1_048_576, parts: int = 32, words: int = 256, seed: int = 7, word_rows: int = 64, centre_rows: int = 40
 ) -> DataFrame:
     """(row_id, neighbour_id, similarity): the k most similar other rows of every row with a usable vector.
 
