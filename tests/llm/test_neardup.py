@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 
 from vecmill.llm.common import words
 from vecmill.llm.copies import copy_key
-from vecmill.llm.neardup import NearDuplicates, alignments, candidates
+from vecmill.llm import neardup
+from vecmill.llm.neardup import NearDuplicates, alignments, crowded, hot_bands, within
 from vecmill.llm.omh import distinct_kmers, kmers, label, sketch
 
 
@@ -22,10 +23,13 @@ def levenshtein(x, y):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=1, max_size=12)), min_size=1, max_size=5))
 def test_alignment_equals_edit_distance(pairs):
-    xs, ys = ([np.array(p[i], np.uint32) for p in pairs] for i in (0, 1))
-    assert alignments(xs, ys, 12).tolist() == [levenshtein(*p) for p in pairs]
-    narrow = alignments(xs, ys, 2)
-    assert all(n >= levenshtein(*p) and (levenshtein(*p) > 2 or n == levenshtein(*p)) for n, p in zip(narrow, pairs, strict=True))
+    x, y = (np.concatenate([np.array(p[i], np.uint32) for p in pairs]) for i in (0, 1))
+    xs, ys = (np.concatenate([[0], np.cumsum([len(p[i]) for p in pairs])]) for i in (0, 1))
+    true = [levenshtein(*p) for p in pairs]
+    assert alignments(x, xs, y, ys, 12, np.full(len(pairs), 20)).tolist() == true
+    assert alignments(x, xs, y, ys, 12, np.full(len(pairs), 3)).tolist() == [d if d <= 3 else -1 for d in true]
+    narrow = alignments(x, xs, y, ys, 2, np.full(len(pairs), 20)).tolist()
+    assert all(a == -1 and d > 2 or a >= d and (d > 2 or a == d) for a, d in zip(narrow, true, strict=True))
 
 
 def test_sketch_keeps_order_and_counts_repeats():
@@ -82,13 +86,19 @@ def made(seed=1):
 
 def test_found_equals_brute_force(spark):
     rows = made()
-    for block in (256, 3):
-        got = [tuple(r) for r in NearDuplicates(frame(spark, rows), block=block).row_pairs(salts=3).collect()]
+    for options in ({}, {"block": 1, "every": 1}):
+        got = [tuple(r) for r in NearDuplicates(frame(spark, rows), **options).row_pairs(salt_rows=3).collect()]
         want = brute(rows)
         assert len(got) == len(set(got)) and set(got) <= want and len(set(got)) >= 0.9 * len(want)  # of short texts with both scattered edits and halves swapped some are missed
         assert (910, 911) in got and not any(r in p for p in got for r in (903, 904, 905))
 
 
+def test_alignment_settles_pairs_of_few_edits(spark):
+    found = NearDuplicates(frame(spark, made())).links.collect()
+    assert {r.aligned for r in found} == {True, False} and all((r.edits is not None) == r.aligned for r in found)
+    assert sum(r.aligned for r in found) > 0.5 * len(found)
+
+
 def test_members_and_empty(spark):
     found = NearDuplicates(frame(spark, made()))
     got = {r.row_id: r for r in found.members().collect()}
@@ -96,11 +106,50 @@ def test_members_and_empty(spark):
     assert NearDuplicates(frame(spark, made()).limit(0)).row_pairs().count() == 0
 
 
-def test_no_pair_is_lost_in_large_bands(spark):
+def test_no_pair_is_lost_in_hot_bands(spark, monkeypatch):
+    """A boilerplate that thousands of texts share makes their bands hot; the pairs stay complete and candidates few."""
+    rng = random.Random(4)
+    plate = [f"p{i}" for i in range(12)]
+    rows, want = [], set()
+    for i in range(4000):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        at = rng.randrange(40)
+        rows.append((2 * i, None, " ".join(t[:at] + plate + t[at:])))
+        if i % 10 == 0:
+            t[rng.randrange(40)] = "other"
+            rows.append((2 * i + 1, None, " ".join(t[:at] + plate + t[at:])))
+            want.add((2 * i, 2 * i + 1))
+    rows += [(10_000 + i, None, " ".join(plate + [f"c{j}" for j in range(30)] + [f"e{i}"])) for i in range(60)]  # all alike
+    want |= {(10_000 + i, 10_000 + j) for i in range(60) for j in range(i + 1, 60)}
+    met = []
+    monkeypatch.setattr(neardup, "crowded", lambda *x: met.append(crowded(*x).distinct().count()) or crowded(*x))
+    got = {tuple(r) for r in NearDuplicates(frame(spark, rows), block=3, every=8).row_pairs().collect()}
+    assert got == want and len(met) == 1 and met[0] < 2 * len(want)
+
+
+def test_crowded_leaves_out_no_pair(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(12)):
+            t[rng.randrange(30)] = f"x{rng.randrange(50)}"
+        rows.append((i, None, " ".join(t)))
+    found = neardup.texts(frame(spark, rows), "row_id", "chunk_id", "content", 20).select("row_id", "cls", "tokens").dropna().dropDuplicates(["cls"]).cache()
+    name = {r.cls: r.row_id for r in found.collect()}
+    kept = [r for r in rows if r[0] in name.values()]
+    for block in (1000, 5):
+        pairs = {tuple(sorted((name[r.a], name[r.b]))) for r in crowded(found, 3, 0.5, block).collect()}
+        assert brute(kept) <= pairs
+
+
+def test_bands(spark):
     rows = [(1, c) for c in range(40)] + [(2, 5), (2, 5), (2, 9), (3, 1)]
-    for block in (100, 7, 2):
-        got = [tuple(r) for r in candidates(spark.createDataFrame(rows, "band long, cls long"), block).collect()]
-        assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    got = sorted(tuple(r) for r in within(spark.createDataFrame(rows, "band long, cls long"), "band").distinct().collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    firsts = neardup.texts(frame(spark, made()), "row_id", "chunk_id", "content", 20).dropna(subset=["tokens"])
+    assert len(hot_bands(firsts, ((3, 3, 4),), 1, 1, 1, 10**6)) > 0 and len(hot_bands(firsts, ((3, 3, 4),), 1, 10**6, 1, 10**6)) == 0
 
 
 def test_short_texts_with_scattered_edits(spark):
