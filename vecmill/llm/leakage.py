@@ -9,10 +9,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, words
+from .common import WORD, materialize, mix, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
@@ -37,7 +38,9 @@ def chain(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def build(items: list[tuple[int, list[str]]], n: int) -> Grams:
-    """The grams of n words of each item, or of all its words if it has fewer. Items without words have none."""
+    """The grams of n words of each item, or of all its words if it has fewer. Items without words have none.
+
+    An item may come in several parts that overlap by n - 1 words."""
     g = Grams()
     grams: dict[int, dict[tuple[int, ...], set[int]]] = {}
     for item, tokens in items:
@@ -83,32 +86,41 @@ def find(g: Grams, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def gram_blocks(items: DataFrame, n: int, item_column: str, item_text_column: str, block_grams: int) -> Iterator[Grams]:
+    """The items' grams, at most `block_grams` at a time: items are read one after the other, and one that has more is split over blocks.
+
+    The driver holds one block and one partition of the items. Without items there is one empty block."""
+    block, room, any_block = [], block_grams, False
+    listed = items.select(F.col(item_column).cast("long").alias("i"), F.col(item_text_column).cast("string").alias("t")).dropna()
+    for row in listed.toLocalIterator():
+        tokens = words(row.t)
+        size = min(n, len(tokens))
+        at, grams = 0, len(tokens) - size + 1 if size else 0
+        while at < grams:
+            take = min(room, grams - at)
+            block.append((row.i, tokens[at : at + take + size - 1]))
+            at, room = at + take, room - take
+            if not room:
+                yield build(block, n)
+                block, room, any_block = [], block_grams, True
+    if block or not any_block:
+        yield build(block, n)
+
+
 def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_grams: int = 500_000) -> DataFrame:
     """(doc_id, text_key, item_id, first_word, n_words): every place where n consecutive words of an item (all, if it has fewer) occur one
     after another as words of a document.
 
-    The items' grams are broadcast in blocks of at most `block_grams`, each of which scans the documents once; so the broadcast is
-    bounded whatever the number of items. Items and documents with null id, null text or no words have no hits. Texts are scanned
+    The items' grams are broadcast in blocks of at most `block_grams`, each of which scans the documents once. If there are several, a
+    block's finds are written before the next block is read and broadcast, so that driver and executors hold one block whatever the
+    number and size of the items. Items and documents with null id, null text or no words have no hits. Texts are scanned
     whole. Documents given twice are reported twice; text_key, a hash of the text, tells different texts of one id apart.
     """
     spark = documents.sparkSession
     schema = "doc_id long, text_key long, item_id long, first_word int, n_words int"
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    room = block_grams
-    listed = items.select(F.col(item_column).cast("long").alias("i"), F.col(item_text_column).cast("string").alias("t")).dropna()
-    for row in listed.toLocalIterator():
-        tokens = words(row.t)
-        cost = max(0, len(tokens) - min(n, len(tokens)) + 1)
-        if cost > room and blocks[-1]:
-            blocks.append([])
-            room = block_grams
-        blocks[-1].append((row.i, tokens))
-        room -= cost
     picked = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t")).dropna().withColumn("text_key", F.xxhash64("t"))
 
-    def scan(block: list[tuple[int, list[str]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build(block, n))
-
+    def scan(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = shared.value
             for batch in batches:
@@ -121,7 +133,14 @@ def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 12, doc_column
 
         return picked.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(scan, blocks))
+    found, last = [], None
+    for block in gram_blocks(items, n, item_column, item_text_column, block_grams):
+        if last is not None:
+            found.append(materialize(scan(last), "p6-spans"))
+            last.destroy()
+        last = spark.sparkContext.broadcast(block)
+    found.append(materialize(scan(last), "p6-spans") if found else scan(last))
+    return reduce(DataFrame.unionByName, found)
 
 
 def leaked_pairs(spans: DataFrame) -> DataFrame:
@@ -129,34 +148,48 @@ def leaked_pairs(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "item_id").distinct()
 
 
-def without_leaks(documents: DataFrame, spans: DataFrame, doc_column: str = "doc_id", text_column: str = "text", mark: str = " ") -> DataFrame:
-    """(doc_id, clean_text, removed_words): every document; leaked word spans and what lies between their words are cut out.
+def cut_out(text: str, bad: list[int], mark: str) -> str:
+    """A text without the words of these numbers (in order, each once) and what lies between them."""
+    at = [m.span() for m in WORD.finditer(text)]
+    out, last, i = [], 0, 0
+    while i < len(bad):
+        j = i
+        while j + 1 < len(bad) and bad[j + 1] == bad[j] + 1:
+            j += 1
+        out += [text[last : at[bad[i]][0]], mark]
+        last, i = at[bad[j]][1], j + 1
+    return "".join(out) + text[last:]
 
-    A document given twice is cleaned in both copies. Null texts stay null.
+
+def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, doc_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_grams: int = 500_000, mark: str = " ") -> DataFrame:
+    """(doc_id, clean_text, removed_words): every document; leaked word spans (those of leaked_spans) and what lies between their words
+    are cut out.
+
+    Cut where they are found: the documents are read once and no text is shuffled. Each block of grams adds its word numbers to the
+    rows it gets and the last one cuts. A document given twice is cleaned in both copies. Null texts stay null; empty items cut nothing.
     """
-    by_doc = spans.select("doc_id", "text_key", F.struct("first_word", "n_words").alias("s")).groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("cuts"))
-    picked = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t")).withColumn("text_key", F.xxhash64("t"))
-    picked = picked.join(by_doc, ["doc_id", "text_key"], "left").select("doc_id", "t", "cuts")
+    spark = documents.sparkSession
+
+    def scan(df: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    piece = batch.slice(at, 1024)
+                    cuts = [set(c or ()) for c in piece.column(2).to_pylist()]
+                    for text, _, first, size in find(g, [words(t or "") for t in piece.column(1).to_pylist()]):
+                        cuts[text].update(range(first, first + size))
+                    yield pa.record_batch([piece.column(0), piece.column(1), pa.array([sorted(c) for c in cuts], pa.list_(pa.int32()))], names=["doc_id", "t", "cuts"])
+
+        return df.mapInArrow(run, "doc_id long, t string, cuts array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = [], []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not cuts or text is None:
-                    texts.append(text)
-                    gone.append(0)
-                    continue
-                at = [m.span() for m in WORD.finditer(text)]
-                bad = sorted({w for c in cuts for w in range(c["first_word"], c["first_word"] + c["n_words"])})
-                out, last, i = [], 0, 0
-                while i < len(bad):
-                    j = i
-                    while j + 1 < len(bad) and bad[j + 1] == bad[j] + 1:
-                        j += 1
-                    out += [text[last : at[bad[i]][0]], mark]
-                    last, i = at[bad[j]][1], j + 1
-                texts.append("".join(out) + text[last:])
-                gone.append(len(bad))
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], names=["doc_id", "clean_text", "removed_words"])
-
-    return picked.mapInArrow(run, "doc_id long, clean_text string, removed_words int")
+            cuts = batch.column(2).to_pylist()
+            texts = [cut_out(t, c, mark) if c else t for t, c in zip(batch.column(1).to_pylist(), cuts, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array([len(c) for c in cuts], pa.int32())], names=["doc_id", "clean_text", "removed_words"])
+
+    found = documents.select(F.col(doc_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("t"), F.lit(None).cast("array<int>").alias("cuts"))
+    for block in gram_blocks(items, n, item_column, item_text_column, block_grams):
+        found = scan(found, spark.sparkContext.broadcast(block))
+    return found.mapInArrow(cut, "doc_id long, clean_text string, removed_words int")
