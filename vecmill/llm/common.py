@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize, new_path, shared_dir
 
@@ -34,14 +33,6 @@ def digest(data: bytes | str) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit affects every output bit."""
     x = x ^ (x >> np.uint64(31))

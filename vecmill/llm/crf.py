@@ -96,14 +96,16 @@ class Model:
     weights: np.ndarray
     trans: np.ndarray
     start: np.ndarray
+    slope: float = 1.0  # of the confidences' log odds, see calibrate()
+    shift: float = 0.0
     cache: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights.astype(np.float16), "trans": self.trans, "start": self.start}
+        return {"weights": self.weights.astype(np.float16), "trans": self.trans, "start": self.start, "slope": self.slope, "shift": self.shift}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["weights"].astype(np.float32), state["trans"], state["start"])
+        self.__init__(state["weights"].astype(np.float32), state["trans"], state["start"], state["slope"], state["shift"])
 
     def scores(self, tokens: list[str], most: int = 400_000) -> np.ndarray:
         """Scores of lower-cased words under each label; what was computed is kept up to a bound."""

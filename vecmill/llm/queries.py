@@ -73,17 +73,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = _table(spark, sf_dir, "documents")
-    return documents, leaked_spans(documents, _table(spark, sf_dir, "eval_items"))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_pairs(_leaks(spark, sf_dir)[1])
+    return leaked_pairs(leaked_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")))
 
 
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_leaks(*_leaks(spark, sf_dir))
+    return without_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p6_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document how many words are cut out, and how many the cleaned text has."""
+    left = F.size(F.regexp_extract_all(F.coalesce("clean_text", F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    return p6_cleaned(spark, sf_dir).select("doc_id", "removed_words", left.alias("kept_words"))
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
@@ -111,7 +112,8 @@ def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unlabelled_languages(*_languages(spark, sf_dir))
+    documents = _table(spark, sf_dir, "documents")
+    return unlabelled_languages(documents, fit(documents))
 
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p4_found, p4_members, p5_found, p5_pieces, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_reached, p8_found, p8_documents, p8_passages)}
+    return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p4_found, p4_members, p5_found, p5_pieces, p6_found, p6_cleaned, p6_removed, p7_mixture, p7_shares, p7_reached, p8_found, p8_documents, p8_passages)}
 
 
 # Ids and contents without what formatting may change; a content of named fields is its sorted set of them.
@@ -142,6 +144,16 @@ _SAME = r"""
           lower(regexp_replace(substr(x, instr(x, ':') + 1), '[^\p{L}\p{N}]+', '', 'g'))))), '|') END AS body FROM f)
     """
 
+# The items' grams, and all windows of as many words of the documents.
+_WINDOWS = r"""
+    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    n AS (SELECT *, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+    g AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT item_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS j FROM n)),
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT DISTINCT n FROM g),
+    t AS (SELECT doc_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) AS j FROM d, s))
+    """
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -151,14 +163,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT row_id, round(u, 12) AS u, ingest_batch FROM n WHERE u < 0.1""",
         "p3_found": _SAME + "SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.id = b.id AND a.body = b.body AND a.row_id < b.row_id",
         "p3_collapsed": _SAME + "SELECT min(row_id) AS row_id, count(*) AS copies FROM k GROUP BY id, body",
-        "p6_found": """
-            WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
-            n AS (SELECT *, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
-            g AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT item_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS j FROM n)),
-            d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-            s AS (SELECT DISTINCT n FROM g),
-            t AS (SELECT doc_id, n, array_to_string(w[j : j + n - 1], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) AS j FROM d, s))
-            SELECT DISTINCT doc_id, item_id FROM t JOIN g USING (n, gram)""",
+        "p6_found": _WINDOWS + "SELECT DISTINCT doc_id, item_id FROM t JOIN g USING (n, gram)",
+        "p6_removed": _WINDOWS + """,
+            c AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(j, j + n)) AS p FROM (SELECT DISTINCT doc_id, j, n FROM t JOIN g USING (n, gram))) GROUP BY doc_id)
+            SELECT doc_id, coalesce(c, 0)::INT AS removed_words, (coalesce(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')), 0) - coalesce(c, 0))::INT AS kept_words FROM documents LEFT JOIN c USING (doc_id)""",
         "p7_reached": """
             WITH s AS (SELECT DISTINCT lower(regexp_replace(source, '[^\\p{L}\\p{N}]+', '', 'g')) AS k FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
             t AS (SELECT *, lower(regexp_replace(source, '[^\\p{L}\\p{N}]+', '', 'g')) IN (SELECT k FROM s WHERE k <> '') AS has FROM mixture_targets)
