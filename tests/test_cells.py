@@ -23,3 +23,13 @@ def test_index(spark):
     assert "PartitionFilters: [" in plan and "__cell" in plan
     empty = CellIndex.build(df.limit(0), new_path(spark, "cells"), "v", 8, ["row_id"])
     assert empty.search(queries, 5, query_vector="v").count() == 0 and index.search(queries.limit(0), 5, query_vector="v").count() == 0
+
+
+def test_a_dense_cell_is_cut_into_pieces(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=8) + 1e-4 * rng.normal(size=(900, 8)), rng.normal(size=(300, 8))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, v array<float>")
+    index = CellIndex.build(df, new_path(spark, "cells"), "v", 8, ["row_id"], cell_rows=600, piece_rows=100)
+    files = spark.read.parquet(f"{index.path}/rows").selectExpr("__cell", "input_file_name() as f").groupBy("__cell").agg({"f": "approx_count_distinct"}).collect()
+    assert index.search(df.limit(3).selectExpr("row_id as query_id", "v"), 5, 99, query_vector="v").count() == 15
+    assert len(files) >= 1 and spark.read.parquet(f"{index.path}/rows").count() == 1200

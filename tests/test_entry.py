@@ -14,7 +14,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["topk_cosine", "multi_vector_search", "late_interaction_search", "maxsim_padded", "delete_documents", "insert_batches", "search_and_rerank"])
+@pytest.mark.parametrize("name", ["topk_cosine", "multi_vector_search", "late_interaction_search", "maxsim_padded", "delete_documents", "insert_batches", "search_and_rerank", "index_documents_pooled", "indexing_report", "chunk_insert", "text_search", "pool_documents", "recorded_hits_merged", "latency_quantiles"])
 def test_query_equals_its_sql(spark, name):
     import os
 

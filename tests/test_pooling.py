@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from vecmill.operators import pooling
 
+# The vectors and counts of FIXTURES.md 6.
 FIXTURE = np.array([[1, 0, 0, 0], [0.98, 0.1, 0.1, 0.1], [0.96, 0.2, 0.1, 0.1], [0, 1, 0, 0], [0.1, 0.98, 0.1, 0.1], [0, 0, 1, 0], [0, 0, 0, 1], [0.2, 0.2, 0.2, 0.9], [0.5, 0.5, 0.5, 0.5], [0.4, 0.6, 0.4, 0.4]])
 FIXTURE = FIXTURE / np.linalg.norm(FIXTURE, axis=1, keepdims=True)
 
@@ -48,8 +49,28 @@ def test_ward_equals_least_variance_growth(n, seed):
     while len(groups) > n // 2:
         _, i, j = min((cost(a + b) - cost(a) - cost(b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
         groups[i] += groups.pop(j)
-    label = pooling.agglomerate(np.linalg.norm(x[:, None] - x[None], axis=2), "ward", n // 2)
-    assert {frozenset(np.flatnonzero(label == c)) for c in set(label)} == {frozenset(g) for g in groups}
+    for label in (pooling.agglomerate(np.linalg.norm(x[:, None] - x[None], axis=2), "ward", n // 2), pooling.ward(x, n // 2)):
+        assert {frozenset(np.flatnonzero(label == c)) for c in set(label)} == {frozenset(g) for g in groups}
+
+
+def test_profiles_need_no_matrix():
+    """Clusters of the profiles, as rows of one distance for each token, are those found in as many numbers as a token has."""
+    v = rows(60, 3)
+    profile = 1 - v @ v.T
+    label = pooling.agglomerate(np.linalg.norm(profile[:, None] - profile[None], axis=2), "ward", 30)
+    want = {tuple(np.round(v[label == c].mean(axis=0), 9)) for c in set(label)}
+    assert {tuple(np.round(x, 9)) for x in pooling.pool_document(v, 2).vectors} == want
+
+
+def test_a_long_document_pools_in_little_memory():
+    import tracemalloc
+
+    v = rows(5000, 4)
+    tracemalloc.start()
+    out = pooling.pool_document(v, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out.vectors) == 2500 and sum(out.stats["cluster_sizes"]) == 5000 and peak < 20e6  # a matrix of distances has 200 MB
 
 
 def test_frames(spark):
@@ -59,5 +80,7 @@ def test_frames(spark):
     assert got == {"a": (20, 10), "b": (1, 1)}
     assert pooling.pooling_summary(pooling.pool_documents(df, 4)).first().total_reduction == pytest.approx(21 / 11)
     assert pooling.pool_documents(df.limit(0), 4).count() == 0
+    each = {r.doc_id: r for r in pooling.pooling_statistics(pooling.pool_documents(df, 4)).collect()}
+    assert each["a"].ratio == 2 and each["a"].largest_cluster >= 2 and each["b"].largest_cluster == 1
     q = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(FIXTURE)], "query_id long, position int, token_embedding array<float>")
     assert pooling.pool_queries(q, 4, 0.05).count() == 6

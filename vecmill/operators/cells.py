@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .clustering import best, kmeans
+from .clustering import best, kmeans, nearest
 from .knn import DECIMALS, blocks_of, prepared, survivors, unit_rows, vectors_of
 
 
 class CellIndex:
     """Rows with a usable vector, partitioned by the nearest of some centroids.
 
-    The centroids are fitted on about `sample_rows` rows drawn by hash (a bound; all rows are stored). Searching compares a query exactly
+    The centroids are fitted on about `sample_rows` rows drawn by hash, or eight a cell if that is more, at most `most_sample_rows` (a bound of the
+    fitting; all rows are stored). Searching compares a query exactly
     with all rows of the `probes` cells whose centroids are most similar to it; with as many probes as cells the answer is exact."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -31,16 +32,16 @@ class CellIndex:
         self.centroids = np.array(about["centroids"], np.float64).reshape(-1, self.dim)
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, vector_column: str, dim: int, ties: list[str], keep: list[str] | None = None, metric: str = "cosine", cell_rows: int = 100_000, sample_rows: int = 65_536, seed: int = 7) -> CellIndex:
-        """Write the index of df to `path`. ties: columns that order equally similar rows and tell rows apart; keep: further columns."""
+    def build(cls, df: DataFrame, path: str, vector_column: str, dim: int, ties: list[str], keep: list[str] | None = None, metric: str = "cosine", cell_rows: int = 100_000, sample_rows: int = 65_536, most_sample_rows: int = 1_048_576, piece_rows: int = 250_000, seed: int = 7) -> CellIndex:
+        """Write the index of df to `path`, cells of about `cell_rows` rows in pieces of about `piece_rows`. ties: columns that order equally similar rows and tell rows apart; keep: further columns."""
         carried = list(dict.fromkeys([*ties, *(keep or [])]))
         source = df.select(*carried, F.col(vector_column).alias("__vector"))
         good = source.where((F.size("__vector") == dim) & ~F.exists("__vector", lambda x: x.isNull()))
         total = good.count()
-        share = min(1.0, sample_rows / max(1, total))
-        drawn = good.select("__vector").where(F.pmod(F.xxhash64("__vector", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).distinct().limit(2 * sample_rows).toArrow()
+        share = min(1.0, min(max(sample_rows, 8 * total // cell_rows), most_sample_rows) / max(1, total))
+        drawn = good.select("__vector").where(F.pmod(F.xxhash64("__vector", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).distinct().toArrow()
         sample = unit_rows(vectors_of(drawn.column(0), dim)[1]).astype(np.float32)
-        count = int(np.clip(round(total / cell_rows), 1, 4096))
+        count = max(1, round(total / cell_rows))  # no more than the sample has rows; then a cell holds more
         centroids = kmeans(sample, count, 10, np.random.default_rng(seed), True) if len(sample) else np.eye(1, dim, dtype=np.float32)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), "__cell int"])
 
@@ -50,9 +51,11 @@ class CellIndex:
                 near = unit_rows(v) @ centroids.T
                 yield pa.record_batch([*batch.columns, pa.array(near.argmax(axis=1).astype(np.int32))], names=[*batch.schema.names, "__cell"])
 
-        # A cell that holds much of the table is spread over tasks: rows go by cell and a hash, not by cell alone.
-        pieces = F.pmod(F.xxhash64(*ties), F.lit(8))
-        good.mapInArrow(assign, schema).repartition("__cell", pieces).write.partitionBy("__cell").option("compression", "zstd").parquet(f"{path}/rows")
+        # A cell is cut into as many pieces as it has rows for, so that one that holds much of the table is spread over tasks.
+        held = np.bincount(nearest(sample, centroids, True), minlength=len(centroids)) * (total / max(1, len(sample))) if len(sample) else np.zeros(1)
+        sizes = df.sparkSession.createDataFrame([(i, max(1, int(np.ceil(n / piece_rows)))) for i, n in enumerate(held)], "__cell int, __pieces int")
+        assigned = good.mapInArrow(assign, schema).join(F.broadcast(sizes), "__cell")
+        assigned.repartition("__cell", F.pmod(F.xxhash64(*ties), F.col("__pieces"))).drop("__pieces").select(*source.columns, "__cell").write.partitionBy("__cell").option("compression", "zstd").parquet(f"{path}/rows")
         about = {"vector": vector_column, "dim": dim, "metric": metric, "ties": ties, "schema": schema, "centroids": centroids.astype(float).round(9).ravel().tolist()}
         df.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
         return cls(df.sparkSession, path)

@@ -55,17 +55,27 @@ class HashingEncoder:
         return self._known[w]
 
     def encode_tokens(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            w = WORD.findall(text.lower())
-            out.append(np.stack([self.word(x) for x in w]) if w else np.empty((0, self.dim), np.float32))
-        return out
+        found = [WORD.findall(text.lower()) for text in texts]
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(w, len(place)) for each in found for w in each], np.int64)
+        known = np.array([self.word(w) for w in place], np.float32).reshape(-1, self.dim)  # each distinct word once
+        return np.split(known[at], np.cumsum([len(each) for each in found])[:-1]) if texts else []
 
     def encode(self, texts: list[str]) -> np.ndarray:
         means = [t.mean(axis=0, dtype=np.float64) if len(t) else np.zeros(self.dim) for t in self.encode_tokens(texts)]
         return np.array(means, np.float32).reshape(-1, self.dim)
 
 
+def checked_tokens(found: list, dim: int) -> list[np.ndarray]:
+    """Token matrices, if they are arrays (else TypeError) of two axes and the right width (else ValueError)."""
+    for t in found:
+        if not isinstance(t, np.ndarray):
+            raise TypeError("token vectors must be an array")
+        if t.ndim != 2 or t.shape[1] != dim:
+            raise ValueError(f"token vectors must be rows of {dim} numbers")
+    return found
+
+
 def lists(rows: np.ndarray) -> pa.Array:
     """A matrix as one list of floats a row."""
     rows = np.ascontiguousarray(rows, np.float32)
@@ -90,14 +100,16 @@ def encode_column(df: DataFrame, text_column: str, encoders: dict[str, Encoder])
 def encode_tokens(df: DataFrame, id_columns: list[str], text_column: str, encoder: TokenEncoder, pool: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(*id_columns, position, token_embedding): one row for each token vector of each text, pooled if asked; null texts have none.
 
-    Token vectors whose norm is zero are left out after encoding."""
+    Token vectors whose norm is zero are left out after encoding. An encoder that gives anything but matrices of its dimension: TypeError
+    or ValueError."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                found = [t[np.abs(t).max(axis=1) > 0] if len(t) else t for t in encoder.encode_tokens([t or "" for t in piece.column(len(id_columns)).to_pylist()])]
+                found = checked_tokens(encoder.encode_tokens([t or "" for t in piece.column(len(id_columns)).to_pylist()]), encoder.dim)
+                found = [t[np.abs(t).max(axis=1) > 0] if len(t) else t for t in found]
                 if pool:
                     found = [pool(t) if len(t) else t for t in found]
                 take = pa.array(np.repeat(np.arange(len(found)), [len(t) for t in found]))

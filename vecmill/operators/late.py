@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,8 +12,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.params import CANDIDATES, TOKENS, expand_parameter
+from ..functions.vectors import usable
 from ..session import materialize
+from .encoders import TokenEncoder, encode_tokens
 from .knn import blocks_of, knn_join, unit_rows, vectors_of
+from .pooling import pool_queries
+
+
+def query_tokens(queries: DataFrame, encoder: TokenEncoder, text_column: str = "query", pool_distance: float = 0.03, min_clusters: int = 3) -> DataFrame:
+    """(query_id, position, token_embedding): query texts encoded and pooled (not if pool_distance is not positive); null texts have none."""
+    encoded = encode_tokens(queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), text_column), ["query_id"], text_column, encoder)
+    return pool_queries(encoded, encoder.dim, pool_distance, min_clusters) if pool_distance > 0 else encoded
+
+
+def fetch(table: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of a table whose key is among the ids, each once however often it is asked for."""
+    return table.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
+def document_tokens(ids: DataFrame, tokens: DataFrame, dim: int) -> DataFrame:
+    """(doc_id, token_id, token_embedding) of the asked documents; one without a usable token stays, with nulls."""
+    wanted = ids.select("doc_id").where("doc_id is not null").distinct()
+    return wanted.join(tokens.where(usable(F.col("token_embedding"), dim)).select("doc_id", "token_id", "token_embedding"), "doc_id", "left")
 
 
 def token_hits(query_tokens: DataFrame, tokens: DataFrame, n: int, dim: int, metric: str = "cosine") -> DataFrame:
@@ -92,12 +112,11 @@ def best_similarities(query_tokens: DataFrame, tokens: DataFrame, dim: int, pair
     return found.groupBy("query_id", "position", "doc_id").agg(F.max("best").alias("best"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def maxsim(query_tokens: DataFrame, tokens: DataFrame, dim: int, pairs: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score): for each query and document the sum over query tokens of the largest cosine to a token of it.
+def maxsim_score(best: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) out of best_similarities(): the sum over query tokens of the largest cosine to a token of the document.
 
     Documents are compared as if filled up with zero vectors to the longest of the query's set: in shorter ones no query token
-    counts less than 0. Zero, NaN and infinite vectors count as zero vectors."""
-    best = best_similarities(query_tokens, tokens, dim, pairs)
+    counts less than 0."""
     each = best.groupBy("query_id", "doc_id").agg(F.sum("best").alias("open"), F.sum(F.greatest("best", F.lit(0.0))).alias("filled"), F.max("n_tokens").alias("n_tokens"))
     # One row a query; a window would bring all documents of a query into one task.
     longest = each.groupBy(F.col("query_id")).agg(F.max("n_tokens").alias("longest"))
@@ -106,16 +125,24 @@ def maxsim(query_tokens: DataFrame, tokens: DataFrame, dim: int, pairs: DataFram
     return each.select("query_id", "doc_id", F.round(score, 9).alias("score"))
 
 
+def maxsim(query_tokens: DataFrame, tokens: DataFrame, dim: int, pairs: DataFrame | None = None) -> DataFrame:
+    """maxsim_score() of best_similarities(). Zero, NaN and infinite vectors count as zero vectors.
+
+    Without pairs there is a row for each query and document, and one for each query token and document is shuffled: for small sets."""
+    return maxsim_score(best_similarities(query_tokens, tokens, dim, pairs))
+
+
 def contents(documents: DataFrame) -> DataFrame:
     """(doc_id, content): the content of each document's last page; of equal page numbers the greatest content; null pages come first."""
     order = F.struct(F.coalesce("page_number", F.lit(-(2**31))), F.coalesce("content", F.lit("")))
     return documents.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("content", order).alias("content"))
 
 
-def search(query_tokens: DataFrame, tokens: DataFrame, documents: DataFrame, dim: int, k: int = 10, n_tokens: int | None = None, n_candidates: int | None = None, metric: str = "cosine") -> DataFrame:
+def search(query_tokens: DataFrame, tokens: DataFrame, documents: DataFrame, dim: int, k: int = 10, n_tokens: int | None = None, n_candidates: int | None = None, metric: str = "cosine", scorer: Callable[[DataFrame], DataFrame] = maxsim_score) -> DataFrame:
     """(query_id, rank, doc_id, score, content): the k documents with the largest MaxSim among the candidates of the first stage.
 
-    The metric rules the first stage only; MaxSim is always by cosine. Without numbers of token hits and candidates they follow from k.
+    scorer: makes (query_id, doc_id, score) out of the rows of best_similarities(), by default MaxSim. The metric rules the first stage only;
+    MaxSim is always by cosine. Without numbers of token hits and candidates they follow from k.
     Documents without stored content have an empty one. Ties: the better candidate, then the smaller doc_id. Queries without tokens or hits
     have no rows."""
     if k < 1:
@@ -123,7 +150,7 @@ def search(query_tokens: DataFrame, tokens: DataFrame, documents: DataFrame, dim
     hits = token_hits(query_tokens, tokens, n_tokens or expand_parameter(k, *TOKENS), dim, metric)
     # A few rows a query, used twice: written once, so that the tokens are not scanned again for them.
     chosen = materialize(candidates(hits, n_candidates or expand_parameter(k, *CANDIDATES)), "candidates")
-    scores = maxsim(query_tokens, tokens, dim, chosen)
+    scores = scorer(best_similarities(query_tokens, tokens, dim, chosen))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_rank", "doc_id")
     ranked = scores.join(chosen.select("query_id", "doc_id", "candidate_rank"), ["query_id", "doc_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(contents(documents), "doc_id", "left").select("query_id", "rank", "doc_id", "score", F.coalesce("content", F.lit("")).alias("content"))

@@ -5,15 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import words
 from ..sources.schema import VectorColumn, checked_columns
+from .encoders import encode_column
 from .knn import as_filter, knn_join
 
 
+def query_rows(spark: SparkSession, texts: list[str], columns: list[VectorColumn], vectors: dict[str, list[list[float]]] | None = None) -> DataFrame:
+    """(query_id, query, a vector for each column): stated texts by their place, encoded where a column has an encoder.
+
+    vectors: those of the other columns, one for each text; another number of them, or none for a precomputed column: ValueError."""
+    vectors = vectors or {}
+    for c in columns:
+        if c.encoder is None and c.column_name not in vectors:
+            raise ValueError(f"no vectors for {c.column_name}")
+        if c.column_name in vectors and len(vectors[c.column_name]) != len(texts):
+            raise ValueError(f"{len(texts)} queries but {len(vectors[c.column_name])} vectors for {c.column_name}")
+    given = [c for c in columns if c.column_name in vectors]
+    rows = [(i, t, *([float(x) for x in vectors[c.column_name][i]] for c in given)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(["query_id long", "query string", *(f"`{c.column_name}` array<float>" for c in given)]))
+    encoders = {c.column_name: c.encoder for c in columns if c not in given}
+    return encode_column(df, "query", encoders) if encoders else df
+
+
 def column_hits(queries: DataFrame, table: DataFrame, columns: list[VectorColumn], requested: str | list[str] | None = None, k: int = 10, where: Column | str | dict | None = None, row_column: str = "row_id", id_column: str = "chunk_id") -> DataFrame:
     """(query_id, column_index, column_name, hit_rank, similarity, row, id): the k best rows of each requested column for each query.
 

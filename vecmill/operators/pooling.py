@@ -63,6 +63,45 @@ def agglomerate(distance: np.ndarray, method: str, stop_count: int = 1, stop_dis
     return np.unique(label, return_inverse=True)[1]
 
 
+def ward(x: np.ndarray, count: int) -> np.ndarray:
+    """Labels of the `count` clusters that Ward's method makes of the rows, in memory of a few times the rows.
+
+    Chains of nearest neighbours are followed until two clusters are each other's nearest, which are merged; in order of their
+    heights these merges are those of merging the closest pair first. A cluster is its mean and its size. Ties: the smaller index.
+    """
+    n = len(x)
+    mean, size, alive = x.astype(np.float64).copy(), np.ones(n), np.ones(n, bool)
+    square = np.einsum("ij,ij->i", mean, mean)
+    merges, chain = [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(alive.argmax()))
+        while True:
+            i = chain[-1]
+            apart = np.maximum(square - 2 * (mean @ mean[i]) + square[i], 0) * (size * size[i] / (size + size[i]))
+            apart[~alive] = np.inf
+            apart[i] = np.inf
+            j = int(apart.argmin())
+            if len(chain) > 1 and apart[chain[-2]] <= apart[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        i, j, height = min(i, j), max(i, j), float(apart[j])
+        merges.append((height, i, j))
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        square[i] = mean[i] @ mean[i]
+        size[i] += size[j]
+        alive[j] = False
+    # a cluster keeps its smaller index, and a merge is never lower than those that made its parts
+    root = np.arange(n)
+    for at in np.argsort([h for h, _, _ in merges], kind="stable")[: n - count]:
+        root[merges[at][2]] = merges[at][1]
+    while (root[root] != root).any():
+        root = root[root]
+    return np.unique(root, return_inverse=True)[1]
+
+
 def cluster_means(v: np.ndarray, label: np.ndarray) -> np.ndarray:
     out = np.zeros((label.max() + 1, v.shape[1]))
     np.add.at(out, label, v)
@@ -111,18 +150,19 @@ def pool_document(v: np.ndarray, factor: int, min_tokens: int = 4, protected: in
     if n < protected + factor:
         return same("fewer tokens than protected tokens and pool_factor")
     kept, rest = v[:protected], v[protected:].astype(np.float64)
-    profile = 1 - rest @ rest.T
-    square = np.einsum("ij,ij->i", profile, profile)
-    apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * profile @ profile.T))
-    label = agglomerate(apart, "ward", max(1, n // int(factor)))
+    # Profiles 1 - rest @ x differ by rest @ (x - y), whose length is that of half @ (x - y) with half' half = rest' rest: as few numbers as
+    # a token has, instead of one for each token.
+    values, axes = np.linalg.eigh(rest.T @ rest)
+    label = ward(rest @ (axes * np.sqrt(np.maximum(values, 0))), max(1, n // int(factor)))
     out = np.concatenate([cluster_means(rest, label), kept])
     if len(out) < min_tokens:
         return same("fewer tokens than min_tokens would be left")
-    return Pooled(out, {"original": n, "pooled": len(out), "ratio": n / len(out)})
+    return Pooled(out, {"original": n, "pooled": len(out), "ratio": n / len(out), "cluster_sizes": np.bincount(label).tolist()})
 
 
 def pool_documents(tokens: DataFrame, dim: int, factor: int = 2, min_tokens: int = 4, protected: int = 0) -> DataFrame:
-    """(doc_id, position, token_embedding, n_original): each document's tokens, pooled. Their order is that of token_id.
+    """(doc_id, position, token_embedding, n_original, n_cluster): each document's tokens, pooled; n_cluster: how many tokens a row stands for (1 for
+    tokens that were kept). Their order is that of token_id.
 
     Vectors that are null, of another length or not finite are left out; rows without doc_id too. One document is one group: its
     tokens are bounded by its text."""
@@ -131,12 +171,13 @@ def pool_documents(tokens: DataFrame, dim: int, factor: int = 2, min_tokens: int
         table = table.sort_by([("token_id", "ascending")])
         right, v = vectors_of(table.column("token_embedding"), dim)
         v = v[np.isfinite(v).all(axis=1)]
-        out = pool_document(v, factor, min_tokens, protected).vectors if len(v) else np.empty((0, dim))
+        done = pool_document(v, factor, min_tokens, protected) if len(v) else Pooled(np.empty((0, dim)))
+        out, held = done.vectors, done.stats.get("cluster_sizes", [])
         doc = pa.array([table.column("doc_id")[0].as_py()] * len(out), pa.string())
-        return pa.table([doc, pa.array(np.arange(len(out), dtype=np.int32)), lists(out), pa.array(np.full(len(out), len(v), np.int32))], names=["doc_id", "position", "token_embedding", "n_original"])
+        return pa.table([doc, pa.array(np.arange(len(out), dtype=np.int32)), lists(out), pa.array(np.full(len(out), len(v), np.int32)), pa.array(held + [1] * (len(out) - len(held)), pa.int32())], names=["doc_id", "position", "token_embedding", "n_original", "n_cluster"])
 
     picked = tokens.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("token_id").cast("string").alias("token_id"), "token_embedding").where("doc_id is not null")
-    return picked.groupBy("doc_id").applyInArrow(run, "doc_id string, position int, token_embedding array<float>, n_original int")
+    return picked.groupBy("doc_id").applyInArrow(run, "doc_id string, position int, token_embedding array<float>, n_original int, n_cluster int")
 
 
 def pool_queries(query_tokens: DataFrame, dim: int, max_distance: float = 0.03, min_clusters: int = 3) -> DataFrame:
@@ -151,6 +192,12 @@ def pool_queries(query_tokens: DataFrame, dim: int, max_distance: float = 0.03,
     return query_tokens.select(F.col("query_id").cast("long").alias("query_id"), "position", "token_embedding").where("query_id is not null").groupBy("query_id").applyInArrow(run, "query_id long, position int, token_embedding array<float>")
 
 
+def pooling_statistics(pooled: DataFrame) -> DataFrame:
+    """(doc_id, original, pooled, ratio, largest_cluster): of each document."""
+    each = pooled.groupBy("doc_id").agg(F.max("n_original").alias("original"), F.count("*").alias("pooled"), F.max("n_cluster").alias("largest_cluster"))
+    return each.select("doc_id", "original", "pooled", (F.col("original") / F.col("pooled")).alias("ratio"), "largest_cluster")
+
+
 def pooling_summary(pooled: DataFrame) -> DataFrame:
     """(documents, original, pooled, total_reduction): over all pooled documents."""
     each = pooled.groupBy("doc_id").agg(F.max("n_original").alias("o"), F.count("*").alias("p"))

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import params, text, vectors
 from ..operators import batches, knn, late, multivector, pooling
 from ..operators.cells import CellIndex
 from ..operators.encoders import HashingEncoder, encode_column, encode_tokens, parallel_map
 from ..session import new_path
-from ..sources.index import LateIndex
-from ..sources.schema import VectorColumn, document_schema, options_from_table, rejections, schema_difference
+from ..sources.index import ChunkIndex, LateIndex
+from ..sources.schema import VectorColumn, document_schema, missing_vectors, options_from_table, rejections, schema_difference
 from ..sources.store import Table
 
 CHUNKS, EMBEDDINGS, HITS = "astra_multi_vector_table", "embeddings", "search_hits"
@@ -208,14 +209,13 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_id) AS pos FROM search_hits), k AS (SELECT * FROM r WHERE chunk_id IS NOT NULL)
-    SELECT query_id, chunk_id AS id, min(pos) AS "position", arg_min(hit_id, pos) AS hit_id, arg_min(coalesce(similarity, -9), pos) AS similarity, count(*) AS copies FROM k GROUP BY query_id, chunk_id""")
+    SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS "position", arg_min(hit_id, pos) AS hit_id, arg_min(coalesce(similarity, -9), pos) AS similarity, count(*) AS copies
+    FROM k GROUP BY query_id, chunk_id""")
 def recorded_hits_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded hits numbered within their query, without those that have no id, once for each chunk as first seen."""
-    from pyspark.sql.window import Window
-
-    numbered = _read(spark, sf_dir, HITS).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("hit_id")))
-    grouped = numbered.where("chunk_id is not null").groupBy("query_id", F.col("chunk_id").alias("id"))
-    return grouped.agg(F.min("pos").alias("position"), F.min_by("hit_id", "pos").alias("hit_id"), F.min_by(F.coalesce("similarity", F.lit(-9.0)), "pos").alias("similarity"), F.count("*").alias("copies"))
+    ranked = _read(spark, sf_dir, HITS).withColumn("hit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hit_id")))
+    hits = ranked.where("chunk_id is not null").select("query_id", F.lit(0).alias("column_index"), F.lit("recorded").alias("column_name"), "hit_rank", F.coalesce("similarity", F.lit(-9.0)).alias("similarity"), F.col("hit_id").alias("row"), F.col("chunk_id").alias("id"))
+    return multivector.merge_hits(hits).select("query_id", "id", "position", F.col("row").alias("hit_id"), "similarity", F.size("source_columns").alias("copies"))
 
 
 @_query("""SELECT hit_id, coalesce(array_to_string(list_transform(source_columns, lambda s: coalesce(s.column_name, '?') || ' (rank ' || coalesce(s.hit_rank::VARCHAR, '?') || ')'), ', '), '') AS provenance
@@ -232,12 +232,17 @@ def _query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_tokens(asked, ["query_id"], "text", HashingEncoder(4))
 
 
-def _late_sql(n: int, m: int) -> str:
+# Tokens of first pages as the index makes them: a token's id is document, page and position.
+_INDEXED_SQL = f"""(SELECT doc_id, doc_id || '-1-' || position AS token_id, {_HASHED} AS token_embedding FROM (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS w,
+      generate_subscripts(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), 1) - 1 AS position FROM late_interaction_docs WHERE page_number = 1 AND doc_id IS NOT NULL AND trim(content, ' ') <> ''))"""
+
+
+def _late_sql(n: int, m: int, tokens: str = "late_interaction_tokens") -> str:
     s = _cos("t.token_embedding", "q.v")
     return f"""w AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), 1) - 1 AS position
           FROM eval_items WHERE item_id % 100 = 0 AND text IS NOT NULL),
         q AS (SELECT query_id, position, {_HASHED} AS v FROM w),
-        t AS (SELECT * FROM late_interaction_tokens WHERE {_usable('token_embedding', 4)}),
+        t AS (SELECT * FROM {tokens} WHERE {_usable('token_embedding', 4)}),
         hits AS (SELECT q.query_id, q.position, t.doc_id, t.token_id, {s} AS similarity,
           row_number() OVER (PARTITION BY q.query_id, q.position ORDER BY {s} DESC, t.doc_id NULLS FIRST, t.token_id NULLS FIRST) AS hit_rank FROM q, t QUALIFY hit_rank <= {n}),
         best AS (SELECT query_id, doc_id, position, max(similarity) AS s FROM hits WHERE doc_id IS NOT NULL GROUP BY ALL),
@@ -301,11 +306,16 @@ def maxsim_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN (SELECT * FROM late_interaction_tokens WHERE {_usable('token_embedding', 4)}) t USING (doc_id) GROUP BY d.doc_id""")
 def load_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of stored documents; documents without tokens stay, with none."""
-    wanted = _read(spark, sf_dir, PAGES).select("doc_id").where("doc_id is not null").distinct()
-    tokens = _read(spark, sf_dir, TOKENS).where(vectors.usable(F.col("token_embedding"), 4))
+    found = late.document_tokens(_read(spark, sf_dir, PAGES), _read(spark, sf_dir, TOKENS), 4)
     size = vectors.norm(F.col("token_embedding"))
-    sized = tokens.select("doc_id", "token_id", F.when(vectors.proper(size), size).alias("size"))
-    return wanted.join(sized, "doc_id", "left").groupBy("doc_id").agg(F.count("token_id").alias("tokens"), F.coalesce(F.round(F.sum("size"), 6), F.lit(0.0)).alias("total_norm"))
+    sized = found.select("doc_id", "token_id", F.when(vectors.proper(size), size).alias("size"))
+    return sized.groupBy("doc_id").agg(F.count("token_id").alias("tokens"), F.coalesce(F.round(F.sum("size"), 6), F.lit(0.0)).alias("total_norm"))
+
+
+@_query("""SELECT doc_id, token_id FROM late_interaction_tokens WHERE doc_id IN (SELECT doc_id FROM late_interaction_docs WHERE page_number = 3)""")
+def fetch_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored token rows of stated documents: of those that have a third page."""
+    return late.fetch(_read(spark, sf_dir, TOKENS), _read(spark, sf_dir, PAGES).where("page_number = 3")).select("doc_id", "token_id")
 
 
 @_query("""SELECT doc_id, arg_max(content, {'p': coalesce(page_number, -2147483648), 'c': coalesce(content, '')}) AS content FROM late_interaction_docs WHERE doc_id IS NOT NULL GROUP BY doc_id""")
@@ -409,13 +419,11 @@ def validated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT row_id, 'multi_embeddings' FROM astra_multi_vector_table WHERE multi_embeddings IS NULL OR len(multi_embeddings) <> 64""")
 def incomplete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps rows from being inserted with precomputed vectors."""
-    chunks = _read(spark, sf_dir, CHUNKS)
-    bad = F.array_compact(F.array(*(F.when(~F.coalesce(F.size(c.column_name) == c.dimension, F.lit(False)), F.lit(c.column_name)) for c in COLUMNS)))
-    return chunks.select("row_id", F.explode(bad).alias("column_name"))
+    return missing_vectors(_read(spark, sf_dir, CHUNKS), COLUMNS).select("row_id", F.explode("missing_vectors").alias("column_name"))
 
 
-@_query("""SELECT unnest(['row_id', 'book_name', 'embeddings1', 'multi_embeddings', 'ingest_batch', 'inserted_at', 'chunk_id', 'doc_id', 'page_number']) AS column_name,
-    unnest(['dropped', 'dropped', 'dropped', 'dropped', 'dropped', 'dropped', 'dropped', 'missing', 'missing']) AS what""")
+@_query("""WITH c AS (SELECT column_name FROM (DESCRIBE astra_multi_vector_table)), s AS (SELECT unnest(['doc_id', 'page_number', 'content']) AS column_name)
+    SELECT column_name, 'dropped' AS what FROM c WHERE column_name NOT IN (SELECT column_name FROM s) UNION ALL SELECT column_name, 'missing' FROM s WHERE column_name NOT IN (SELECT column_name FROM c)""")
 def schema_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk rows against the document schema."""
     dropped, missing = schema_difference(_read(spark, sf_dir, CHUNKS), document_schema())
@@ -431,13 +439,12 @@ def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'token', doc_id, token_id FROM late_interaction_tokens t WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM late_interaction_docs WHERE content IS NULL AND doc_id IS NOT NULL)""")
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens are stored, some documents are deleted; what is left."""
-    pages, tokens, path = _read(spark, sf_dir, PAGES), _read(spark, sf_dir, TOKENS), new_path(spark, "late")
-    stores = [Table(spark, f"{path}/documents", pages.schema, "doc_id").create(), Table(spark, f"{path}/tokens", tokens.schema, "doc_id").create()]
-    for store, rows in zip(stores, (pages, tokens), strict=True):
-        store.append(rows)
-        store.delete(_gone(spark, sf_dir))
-    left = stores[0].read().select(F.lit("document").alias("kind"), "doc_id", F.col("page_number").cast("string").alias("part"))
-    return left.unionByName(stores[1].read().select(F.lit("token").alias("kind"), "doc_id", F.col("token_id").alias("part")))
+    index = LateIndex(spark, new_path(spark, "late"), HashingEncoder(4))
+    for table, rows in ((index.documents, _read(spark, sf_dir, PAGES)), (index.tokens, _read(spark, sf_dir, TOKENS))):
+        table.append(rows)
+    index.delete(_gone(spark, sf_dir))
+    left = index.documents.read().select(F.lit("document").alias("kind"), "doc_id", F.col("page_number").cast("string").alias("part"))
+    return left.unionByName(index.tokens.read().select(F.lit("token").alias("kind"), "doc_id", F.col("token_id").alias("part")))
 
 
 @_query("""WITH again AS (SELECT doc_id, page_number, 'again ' || content AS content FROM late_interaction_docs WHERE page_number = 1 AND doc_id IS NOT NULL)
@@ -460,6 +467,65 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.tokens.read().groupBy("doc_id").agg(F.count("*").alias("tokens"))
 
 
+_POOLED = "CASE WHEN n <= 4 OR n // 2 < 4 THEN n ELSE n // 2 END"
+
+
+@_query(f"""WITH p AS (SELECT doc_id, len(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS n FROM late_interaction_docs WHERE doc_id IS NOT NULL AND trim(content, ' ') <> '')
+    SELECT doc_id, sum({_POOLED})::BIGINT AS tokens FROM p WHERE n > 0 GROUP BY doc_id""")
+def index_documents_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded by words, their tokens pooled to half as they are indexed, page by page."""
+    index = LateIndex(spark, new_path(spark, "index"), HashingEncoder(4), pool_factor=2)
+    index.index(_read(spark, sf_dir, PAGES))
+    return index.tokens.read().groupBy("doc_id").agg(F.count("*").alias("tokens"))
+
+
+@_query("""SELECT CASE WHEN content IS NULL OR trim(content, ' ') = '' THEN 'no content' WHEN doc_id IS NULL THEN 'no doc_id' ELSE 'indexed' END AS what, count(*) AS n
+    FROM late_interaction_docs GROUP BY 1""")
+def indexing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages were indexed, and why others were not."""
+    index = LateIndex(spark, new_path(spark, "index"), HashingEncoder(4), pool_factor=1)
+    done = index.index(_read(spark, sf_dir, PAGES))
+    indexed = late.fetch(index.documents.read(), done.ids).agg(F.lit("indexed").alias("what"), F.count("*").alias("n")).where("n > 0")
+    return indexed.unionByName(done.rejected.select(F.col("rejected").alias("what"), F.col("rows").alias("n")))
+
+
+@_query(f"""SELECT row_id::VARCHAR AS chunk_id, content IS NOT NULL AS encoded, round(multi_embeddings[1]::DOUBLE, 6) AS first FROM astra_multi_vector_table WHERE {_usable('multi_embeddings', 64)}""")
+def chunk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks inserted with one column encoded and one precomputed; what the table then has."""
+    index = ChunkIndex(spark, new_path(spark, "chunks"), [VectorColumn.encoded(HashingEncoder(4), "encoded"), VectorColumn.precomputed("multi_embeddings", 64)])
+    chunks = _read(spark, sf_dir, CHUNKS).where(vectors.usable(F.col("multi_embeddings"), 64))
+    index.insert(chunks.select(F.col("row_id").cast("string").alias("chunk_id"), "content", "multi_embeddings"))
+    return index.table.read().select("chunk_id", F.col("encoded").isNotNull().alias("encoded"), F.round(F.col("multi_embeddings")[0].cast("double"), 6).alias("first"))
+
+
+@_query("""SELECT batch, count(*) AS inserted FROM (SELECT ((row_number() OVER (ORDER BY row_id) - 1) // 100 + 1)::INT AS batch FROM astra_multi_vector_table) GROUP BY batch""")
+def insert_batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result for each batch of 100 inserted chunks."""
+    index = ChunkIndex(spark, new_path(spark, "chunks"), [VectorColumn.encoded(HashingEncoder(4), "encoded")])
+    return index.insert_in_batches(_read(spark, sf_dir, CHUNKS).select("row_id", "chunk_id", "content"), ["row_id"], 100)
+
+
+@_query(f"""WITH {_late_sql(170, 20, tokens=_INDEXED_SQL)}, ranked AS (SELECT s.query_id, s.doc_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, c.candidate_rank, s.doc_id) AS rank
+      FROM scores s JOIN cand c USING (query_id, doc_id) QUALIFY rank <= 10)
+    SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked""")
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to ranked documents: documents indexed, query texts encoded, cached tokens searched."""
+    index = LateIndex(spark, new_path(spark, "index"), HashingEncoder(4), pool_factor=1)
+    index.index(_read(spark, sf_dir, PAGES).where("page_number = 1"))
+    asked = _read(spark, sf_dir, "eval_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = index.search(asked, 10, pool_distance=0, cached=True)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@_query()
+def text_search_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with documents and queries pooled, as is the default."""
+    index = LateIndex(spark, new_path(spark, "index"), HashingEncoder(4))
+    index.index(_read(spark, sf_dir, PAGES))
+    asked = _read(spark, sf_dir, "eval_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return index.search(asked, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @_query(f"""WITH t AS (SELECT row_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS w FROM astra_multi_vector_table WHERE content IS NOT NULL),
     v AS (SELECT row_id, generate_subscripts(range(1, 5), 1) - 1 AS dim, unnest({_HASHED}) AS x FROM t)
     SELECT row_id, dim, round(avg(x::DOUBLE), 4) + 0 AS x FROM v GROUP BY row_id, dim""")
@@ -470,15 +536,18 @@ def encode_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worded.select("row_id", F.posexplode("v").alias("dim", "x")).select("row_id", "dim", (F.round(F.col("x").cast("double"), 4) + 0).alias("x"))
 
 
-@_query()
+_COUNTED = f"""c AS (SELECT doc_id, count(*) AS n FROM late_interaction_tokens WHERE doc_id IS NOT NULL AND {_usable('token_embedding', 4)} AND len(list_filter(token_embedding, lambda x: NOT isfinite(x))) = 0 GROUP BY doc_id)"""
+
+
+@_query(f"""WITH {_COUNTED} SELECT doc_id, n::INT AS original, {_POOLED} AS pooled FROM c""")
 def pool_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = pooling.pool_documents(_read(spark, sf_dir, TOKENS), 4)
-    return pooled.groupBy("doc_id").agg(F.max("n_original").alias("original"), F.count("*").alias("pooled"))
+    """How many tokens documents have before and after pooling: which tokens go together is tested against brute force."""
+    return pooling.pooling_statistics(pooling.pool_documents(_read(spark, sf_dir, TOKENS), 4)).select("doc_id", "original", "pooled")
 
 
-@_query()
+@_query(f"""WITH {_COUNTED}, p AS (SELECT n, {_POOLED} AS p FROM c) SELECT count(*) AS documents, sum(n)::BIGINT AS original, sum(p)::BIGINT AS pooled, round(sum(n) / sum(p), 9) AS total_reduction FROM p""")
 def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooling.pooling_summary(pooling.pool_documents(_read(spark, sf_dir, TOKENS), 4))
+    return pooling.pooling_summary(pooling.pool_documents(_read(spark, sf_dir, TOKENS), 4)).withColumn("total_reduction", F.round("total_reduction", 9))
 
 
 @_query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,8 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+_shipped: set[str] = set()
+_made: list[str] = []
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let the Python workers of a session import this package from where the driver has it."""
+    """Let the Python workers of a session import this package: on this machine from where the driver has it; on a cluster it is shipped."""
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.applicationId not in _shipped:
+        with tempfile.TemporaryDirectory() as folder:
+            context.addPyFile(shutil.make_archive(f"{folder}/vecmill", "zip", ROOT, "vecmill"))
+        _shipped.add(context.applicationId)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
@@ -52,5 +62,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: it is computed once and survives the loss of executors."""
     path = new_path(df.sparkSession, name)
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that materialize() wrote so far; for when no result that reads them is needed any more."""
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -123,15 +123,16 @@ def rejections(df: DataFrame, images: bool = False) -> DataFrame:
     return df.withColumn("rejected", why.when(kind == "image", F.lit(None if images else "the model takes no images")))
 
 
+def missing_vectors(df: DataFrame, columns: Iterable[VectorColumn]) -> DataFrame:
+    """df with `missing_vectors`: names of the precomputed columns whose vector a row lacks or has in another length."""
+    bad = [F.when(~F.coalesce(F.size(c.column_name) == c.dimension, F.lit(False)) if c.column_name in df.columns else F.lit(True), F.lit(c.column_name)) for c in columns if c.kind is Kind.PRECOMPUTED]
+    return df.withColumn("missing_vectors", F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>"))
+
+
 def check_precomputed(df: DataFrame, columns: Iterable[VectorColumn]) -> None:
     """ValueError if a row lacks a precomputed vector of the right length."""
-    bad = [~F.coalesce(F.size(c.column_name) == c.dimension, F.lit(False)) if c.column_name in df.columns else F.lit(True) for c in columns if c.kind is Kind.PRECOMPUTED]
-    if bad:
-        wrong = bad[0]
-        for b in bad[1:]:
-            wrong = wrong | b
-        if df.where(wrong).limit(1).count():
-            raise ValueError("precomputed vectors are missing or of another length")
+    if missing_vectors(df, columns).where(F.size("missing_vectors") > 0).limit(1).count():
+        raise ValueError("precomputed vectors are missing or of another length")
 
 
 def options_from_table(df: DataFrame) -> DataFrame:
