@@ -229,7 +229,7 @@ class NearDuplicates:
     form one class, are compared once and are near-duplicates of each other. Contents are used whole. An empty table: no rows.
     """
 
-    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 12), (5, 2, 8), (3, 3, 12)), block: int = 24, every: int = 64, width: int = 12, seed: int = 1) -> None:
+    def __init__(self, df: DataFrame, row_column: str = "row_id", id_column: str = "chunk_id", content_column: str = "content", k: int = 3, threshold: float = 0.5, least_words: int = 20, sketches: tuple[tuple[int, int, int], ...] = ((7, 2, 16), (3, 3, 16)), block: int = 24, every: int = 64, width: int = 12, seed: int = 1) -> None:
         if least_words < max(k, *(mer + take - 1 for mer, take, _ in sketches)):
             raise ValueError("texts must have enough words for a sketch")
         self.rows = materialize(texts(df, row_column, id_column, content_column, least_words), "p4-rows")
