@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -20,8 +21,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let the Python workers of a session import this package: on this machine from where the driver has it; on a cluster it is shipped."""
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.applicationId not in _shipped:
-        with tempfile.TemporaryDirectory() as folder:
-            context.addPyFile(shutil.make_archive(f"{folder}/vecmill", "zip", ROOT, "vecmill"))
+        folder = tempfile.mkdtemp(prefix="vecmill-")  # on the driver, which serves it to executors for as long as it runs
+        atexit.register(shutil.rmtree, folder, True)
+        context.addPyFile(shutil.make_archive(f"{folder}/vecmill", "zip", ROOT, "vecmill"))
         _shipped.add(context.applicationId)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
