@@ -26,9 +26,12 @@ def test_alignment_equals_edit_distance(pairs):
     x, y = (np.concatenate([np.array(p[i], np.uint32) for p in pairs]) for i in (0, 1))
     xs, ys = (np.concatenate([[0], np.cumsum([len(p[i]) for p in pairs])]) for i in (0, 1))
     true = [levenshtein(*p) for p in pairs]
-    assert alignments(x, xs, y, ys, 12, np.full(len(pairs), 20)).tolist() == true
-    assert alignments(x, xs, y, ys, 12, np.full(len(pairs), 3)).tolist() == [d if d <= 3 else -1 for d in true]
-    narrow = alignments(x, xs, y, ys, 2, np.full(len(pairs), 20)).tolist()
+    assert alignments(x, xs, y, ys, 12, np.full(len(pairs), 20))[0].tolist() == true
+    assert alignments(x, xs, y, ys, 12, np.full(len(pairs), 3))[0].tolist() == [d if d <= 3 else -1 for d in true]
+    loose = alignments(x, xs, y, ys, 12, np.full(len(pairs), -1), 2)[1].tolist()
+    grams = lambda v: [tuple(v[i : i + 2]) for i in range(len(v) - 1)]
+    assert loose == [sum(g not in set(grams(p[1])) for g in grams(p[0])) for p in pairs]
+    narrow = alignments(x, xs, y, ys, 2, np.full(len(pairs), 20))[0].tolist()
     assert all(a == -1 and d > 2 or a >= d and (d > 2 or a == d) for a, d in zip(narrow, true, strict=True))
 
 
@@ -95,8 +98,8 @@ def test_found_equals_brute_force(spark):
 
 def test_alignment_settles_pairs_of_few_edits(spark):
     found = NearDuplicates(frame(spark, made())).links.collect()
-    assert {r.aligned for r in found} == {True, False} and all((r.edits is not None) == r.aligned for r in found)
-    assert sum(r.aligned for r in found) > 0.5 * len(found)
+    assert {r.aligned for r in found} == {True, False} and all(r.aligned or r.edits is None for r in found)
+    assert sum(r.aligned for r in found) > 0.5 * len(found)  # the rest have their halves swapped
 
 
 def test_members_and_empty(spark):

@@ -3,8 +3,9 @@
 A sketch holds, for each of a number of hash functions, the `take` least occurrence-labelled k-mers of words in text order, two at
 least: pairs of long k-mers, which few unrelated texts share, and triples of short ones for edits all over a text, also a short one.
 Texts that share a band are candidates. An alignment of a pair's words within a band around the diagonal gives their edit distance;
-as an edit touches k sequences of k words at most, few enough edits settle that the pair shares what is asked for. Only of pairs that
-this leaves open (blocks moved, edits beyond the band) are the sequences themselves compared.
+as an edit touches k sequences of k words at most, few enough edits settle that the pair shares what is asked for, and so do runs of k
+equal words at enough places of the band. Only of pairs that this leaves open (blocks moved, shifts beyond the band) are the
+sequences themselves compared.
 """
 
 from __future__ import annotations
@@ -143,20 +144,18 @@ def candidates(firsts: DataFrame, classes: DataFrame, sketches: tuple[tuple[int,
     return out.distinct()
 
 
-def alignments(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, width: int, most: np.ndarray) -> np.ndarray:
-    """Edit distances between word sequences, pair by pair: -1 if they exceed the pair's `most` or every path leaves the band.
+def alignments(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, width: int, most: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Of word sequences, pair by pair, the edit distance (-1 if it exceeds the pair's `most` or every path leaves the band), and how many
+    of x's places have no run of k equal words in y within the band.
 
     x, y: the words of all pairs end to end, with where each starts and the total. Paths stay within `width` of the diagonal; an
     upper bound of the true distance, equal to it if that is at most `width`. For each number of edits and each diagonal it is kept how
     far in x these edits lead, runs of equal words being skipped at once.
     """
-    n, m = np.diff(x_start), np.diff(y_start)
+    n, m, xs, ys = np.diff(x_start), np.diff(y_start), x_start[:-1], y_start[:-1]
     out = np.full(len(n), -1)
-    live = np.flatnonzero((most >= 0) & (np.abs(m - n) <= np.minimum(width, most)))
-    if not len(live):
-        return out
-    width = min(width, int(most[live].max()))
-    n, m, xs, ys, most = n[live], m[live], x_start[:-1][live], y_start[:-1][live], most[live]
+    if not len(n):
+        return out, out
     # one slot a word of x and one for its end, where no run goes on
     slot = np.concatenate([[0], np.cumsum(n + 1)])
     pair = np.repeat(np.arange(len(n)), n + 1)
@@ -168,16 +167,18 @@ def alignments(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.nd
     for o in range(-width, width + 1):
         same = (left == y[np.clip(right + o, 0, len(y) - 1)]) & (place + o >= 0) & (place + o < length)
         stop[o + width] = np.minimum.accumulate(np.where(same, np.int32(len(pair)), at)[::-1])[::-1]
+    apart = (place + k <= n[pair]) & ~(stop >= at + k).any(axis=0)
+    loose = np.add.reduceat(apart, slot[:-1], dtype=np.int64)
     reach = np.arange(-width, width + 1)
-    far = np.full((len(n), 2 * width + 1), -(1 << 40))
+    todo, d = np.flatnonzero((most >= 0) & (np.abs(m - n) <= np.minimum(width, most))), 0
+    far = np.full((len(todo), 2 * width + 1), -(1 << 40))
     far[:, width] = 0
-    todo, d = np.arange(len(n)), 0
     while len(todo):
         start = slot[:-1][todo][:, None]
         there = far >= 0
         far = np.where(there, stop[np.arange(2 * width + 1)[None], start + np.maximum(far, 0)] - start, far)
         ended = far[np.arange(len(todo)), width + m[todo] - n[todo]] == n[todo]
-        out[live[todo[ended]]] = d
+        out[todo[ended]] = d
         keep = ~ended & (d < most[todo])
         todo, far, d = todo[keep], far[keep], d + 1
         if not len(todo):
@@ -187,14 +188,15 @@ def alignments(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.nd
         ends = np.minimum(n[todo][:, None], m[todo][:, None] - reach[None])
         far = np.minimum(np.maximum(np.maximum(change, drop), add), ends)
         far = np.where((far >= 0) & (far + reach[None] >= 0), far, -(1 << 40))
-    return out
+    return out, loose
 
 
 def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, width: int) -> DataFrame:
     """(a, b, edits, aligned): the pairs whose share of common distinct k-word sequences is at least the threshold.
 
-    A pair is aligned first. An edit touches at most k sequences of either text, so a pair with few edits shares enough of them
-    (aligned: true); of the others, whose edits are null, the sequences are compared. Texts of any length are aligned whole.
+    A pair is aligned first. An edit touches at most k sequences of either text, so a pair with few edits shares enough of them, and so does
+    one whose alignment has runs of k equal words at enough places (aligned: true; edits: null where there are more than would do). Of the
+    others the sequences are compared. Texts of any length are aligned whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +212,13 @@ def similar(pairs: DataFrame, classes: DataFrame, k: int, threshold: float, widt
                 grams = [distinct_kmers(flat.astype(np.uint64), starts, k) for flat, starts in ((x, xs), (y, ys))]
                 counts = np.array([[len(g) for g in side] for side in grams])
                 needed = threshold / (1 + threshold) * counts.sum(axis=0)
-                edits = alignments(x, xs, y, ys, width, np.floor((counts.max(axis=0) - needed) / k + 1e-9).astype(np.int64))
-                good = edits >= 0
+                edits, loose = alignments(x, xs, y, ys, width, np.floor((counts.max(axis=0) - needed) / k + 1e-9).astype(np.int64), k)
+                aligned = (edits >= 0) | (counts[0] - loose >= needed - 1e-9)
+                good = aligned.copy()
                 for i in np.flatnonzero(~good & (counts.min(axis=0) >= threshold * counts.max(axis=0))):
                     good[i] = len(np.intersect1d(grams[0][i], grams[1][i], assume_unique=True)) >= needed[i] - 1e-9
                 keep = pa.array(good)
-                yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(edits[good].astype(np.int32), mask=edits[good] < 0), pa.array(edits[good] >= 0)], names=["a", "b", "edits", "aligned"])
+                yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(edits[good].astype(np.int32), mask=edits[good] < 0), pa.array(aligned[good])], names=["a", "b", "edits", "aligned"])
 
     one, two = (classes.select(F.col("cls").alias(i), F.col("tokens").alias(t)) for i, t in (("a", "x"), ("b", "y")))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .copies import Copies
 from .languages import document_languages, fit, language_passages, unlabelled_languages
@@ -52,6 +53,11 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Copies(_chunks(spark, sf_dir)).collapsed()
 
 
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that has a key, with the representative of its record."""
+    return Copies(_chunks(spark, sf_dir)).members()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(_chunks(spark, sf_dir)).row_pairs()
 
@@ -73,6 +79,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p5_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row that was cut: how many characters its pieces cover, and whether all are within the limit and share the overlap asked for.
+
+    The SQL has the length of the content and says that both hold."""
+    limits = _table(spark, sf_dir, "column_options").where("column_name = 'multi_embeddings'").groupBy("book_name").agg(F.min(F.struct("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap"))).alias("l"))
+    before = F.lag("end_char").over(Window.partitionBy("row_id").orderBy("piece"))
+    pieces = _pieces(spark, sf_dir).where("pieces > 1").withColumn("shared", F.coalesce(before, F.lit(0)) - F.col("start_char"))
+    found = pieces.join(_chunks(spark, sf_dir).select("row_id", "book_name"), "row_id").join(limits, "book_name")
+    due = F.when(F.col("piece") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.col("l.overlap"), F.col("l.max_chars") - 1)))
+    return found.groupBy("row_id").agg(F.max("end_char").alias("chars"), F.every(F.length("piece_text") <= F.col("l.max_chars")).alias("fit"), F.every(F.col("shared") == due).alias("overlap"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_pairs(leaked_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")))
 
@@ -126,7 +144,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p4_found, p4_members, p5_found, p5_pieces, p6_found, p6_cleaned, p6_removed, p7_mixture, p7_shares, p7_reached, p8_found, p8_documents, p8_passages)}
+    return {f.__name__: f for f in (p1_found, p2_stable_sample, p3_found, p3_collapsed, p3_members, p4_found, p4_members, p5_found, p5_pieces, p5_checked, p6_found, p6_cleaned, p6_removed, p7_mixture, p7_shares, p7_reached, p8_found, p8_documents, p8_passages)}
 
 
 # Ids and contents without what formatting may change; a content of named fields is its sorted set of them.
@@ -163,6 +181,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT row_id, round(u, 12) AS u, ingest_batch FROM n WHERE u < 0.1""",
         "p3_found": _SAME + "SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.id = b.id AND a.body = b.body AND a.row_id < b.row_id",
         "p3_collapsed": _SAME + "SELECT min(row_id) AS row_id, count(*) AS copies FROM k GROUP BY id, body",
+        "p3_members": _SAME + "SELECT row_id, min(row_id) OVER (PARTITION BY id, body) AS representative FROM k",
+        "p5_checked": """
+            SELECT c.row_id, length(c.content)::INT AS chars, true AS fit, true AS overlap FROM astra_multi_vector_table c JOIN column_options o ON o.book_name = c.book_name AND o.column_name = 'multi_embeddings'
+            WHERE length(c.content) > o.max_chars""",
         "p6_found": _WINDOWS + "SELECT DISTINCT doc_id, item_id FROM t JOIN g USING (n, gram)",
         "p6_removed": _WINDOWS + """,
             c AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(j, j + n)) AS p FROM (SELECT DISTINCT doc_id, j, n FROM t JOIN g USING (n, gram))) GROUP BY doc_id)

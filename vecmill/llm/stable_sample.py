@@ -44,18 +44,25 @@ class PermanentSample:
         return sorted(str(x.getPath()) for x in system.listStatus(target) if system.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{x.getPath()}/_SUCCESS")))
 
     def registry(self) -> DataFrame:
+        """(id, u, generation): each identifier once. One that two inserts running at once both gave a number has the same number twice, as
+        the number is a hash; the earlier generation counts."""
+        return self._written().groupBy("id").agg(F.min(F.struct("generation", "u")).alias("x")).select("id", "x.u", "x.generation")
+
+    def _written(self) -> DataFrame:
         done = self._generations()
         return self.spark.read.schema(SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], SCHEMA)
 
     def insert(self, identifiers: DataFrame, column: str) -> None:
-        """Give a number to every identifier that has none yet (anti-join insert). Null ones get none."""
+        """Give a number to every identifier that has none yet (anti-join insert). Null ones get none.
+
+        Each insert has a folder of its own, so none overwrites another, whichever ran at once or was cut off."""
         new = identifiers.select(written_alike(F.col(column).cast("string")).alias("id")).where("id is not null").distinct()
         done = self._generations()
         if done:
-            new = new.join(self.registry().select("id"), "id", "left_anti")
+            new = new.join(self._written().select("id"), "id", "left_anti")
         head = F.substring(F.md5(F.concat(F.lit(self.seed + "\x1f"), "id").cast("binary")), 1, 13)
         number = F.conv(head, 16, 10).cast("long") / F.lit(float(1 << 52))
-        new.select("id", number.alias("u"), F.lit(len(done)).alias("generation")).write.mode("overwrite").parquet(f"{self.path}/ids/{len(done):06d}")
+        new.select("id", number.alias("u"), F.lit(len(done)).alias("generation")).write.parquet(f"{self.path}/ids/{len(done):06d}-{uuid.uuid4().hex}")
 
     def threshold(self, share: float) -> float:
         """The share to use: the largest that was ever asked for. It is recorded."""
