@@ -388,6 +388,16 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_texts(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+_BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@_query(f"""SELECT doc_id, length(regexp_replace(text, '{_BLANKS}', '', 'g'))::BIGINT AS characters, true AS fit FROM documents WHERE length(regexp_replace(text, '{_BLANKS}', '', 'g')) > 0""")
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a document have all its characters but blanks, and none is longer than it may be."""
+    size = F.length(F.regexp_replace("chunk", _BLANKS, ""))
+    return chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.sum(size).alias("characters"), F.every(F.length("chunk") <= 500).alias("fit"))
+
+
 @_query("""SELECT event_type, round(avg(value), 6) AS avg_value, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75,
     round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
